@@ -5,7 +5,8 @@ oracles use it as a common table expression.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quotelab.dims import Books
 
@@ -74,7 +75,20 @@ FROM (SELECT t.*, CASE WHEN p_raw >= 0.5e0 THEN -100 * p_raw / (1 - p_raw) ELSE
                    ((l_orderkey * 48271 + l_linenumber * 7907 + l_partkey * 17) % 10007) / 10007.0e0 AS u
             FROM {lineitem} l) t) x"""
 
+PLAYERS = """
+SELECT l_orderkey AS event_id, l_partkey AS athlete_id, CASE WHEN l_returnflag = 'R' THEN 'pitching' ELSE 'batting' END AS grp,
+       max(l_suppkey % 10) AS team, CAST(max(l_linenumber % 5) AS DOUBLE) AS at_bats,
+       CAST(max(CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_suppkey % 3 END) AS DOUBLE) AS walks,
+       CAST(max((l_orderkey + l_suppkey) % 4) AS DOUBLE) AS hits, CAST(max((l_orderkey * 3 + l_suppkey) % 7) AS DOUBLE) AS total_bases,
+       CAST(max(l_linenumber % 2) AS DOUBLE) AS home_runs, CAST(max(l_orderkey % 5) AS DOUBLE) AS rbi,
+       CAST(max((l_orderkey + l_linenumber) % 4) AS DOUBLE) AS runs, CAST(max((l_suppkey + l_linenumber) % 4) AS DOUBLE) AS strike_outs,
+       CAST(max(l_linenumber * 2) AS DOUBLE) AS pitches_seen, CAST(max(l_suppkey % 28) AS DOUBLE) AS outs,
+       CAST(max(l_orderkey % 9) AS DOUBLE) AS hits_allowed, CAST(max(l_orderkey % 6) AS DOUBLE) AS earned_runs,
+       CAST(max(l_suppkey % 2) AS DOUBLE) AS home_runs_allowed, CAST(max(20 + l_orderkey % 80) AS DOUBLE) AS pitch_count
+FROM {lineitem} GROUP BY 1, 2, 3"""
+
 _VIEWS = {
+    "players_v": (PLAYERS, "lineitem"),
     "quotes_v": (QUOTES, "lineitem"),
     "stats_v": (STATS, "part"),
     "games_v": (GAMES, "orders"),
@@ -92,6 +106,22 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{source: table(spark, sf_dir, source)})
 
 
+#: Added before rounding to six places on both engines: averages of short decimals often end in an exact half,
+#: where the last bit of a sum would decide.
+OFF_TIE = 1.2345678e-9
+
+
+def r6(c: Column | str, name: str | None = None) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    out = F.round(c + F.lit(OFF_TIE), 6)
+    return out.alias(name) if name else out
+
+
+def off_tie(sql: str) -> str:
+    """The oracle's ``round(x, 6) AS c`` with the same offset."""
+    return sql.replace(", 6) AS", f" + {OFF_TIE}, 6) AS")
+
+
 def ctes(*names: str) -> str:
     """``WITH`` prefix that defines the named views for an oracle."""
     return "WITH " + ", ".join(f"{n} AS ({_VIEWS[n][0].replace('{' + _VIEWS[n][1] + '}', _VIEWS[n][1])})" for n in names)

@@ -4,11 +4,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.adapters import (ATTACH_CTE, BOOKS_CTE, CONSENSUS_CTE, LOGIT, PAYOUT, RAW, TEST_BOOKS, ctes, view)
+from catalog.adapters import r6 as R
 from quotelab.functions import pricing as P
 from quotelab.operators import consensus as C
 from quotelab.operators import normalize as N
 
-R = lambda c, n: F.round(c, 6).alias(n)
 
 
 def best_price_ev(spark, sf):

@@ -27,6 +27,11 @@ def _bets(spark, sf):
     return view(spark, sf, "bets_v")
 
 
+def _steady(bets):
+    """Probabilities without the noise of their last bits, which would decide on which side of an edge they fall."""
+    return bets.withColumn("p_model", F.round("p_model", 9))
+
+
 def _views_outcomes(spark, sf):
     q = view(spark, sf, "quotes_v").filter("tag = 'decision'")
     v = C.book_views(q, books=TEST_BOOKS, key=FR.PROPOSITION)
@@ -108,8 +113,8 @@ def fold_slices(spark, sf):
     return d.select(F.col("fold").cast("bigint").alias("fold"), "train_rows", "test_rows")
 
 
-SLICES_SQL = f"""{_FOLDS} SELECT fold, count(*) FILTER (WHERE CAST(game_date AS DATE) <= train_end) AS train_rows,
-  count(*) FILTER (WHERE CAST(game_date AS DATE) BETWEEN test_start AND test_end) AS test_rows FROM f, bets_v GROUP BY fold"""
+SLICES_SQL = f"""{_FOLDS} SELECT f.fold, count(*) FILTER (WHERE CAST(game_date AS DATE) <= train_end) AS train_rows,
+  count(*) FILTER (WHERE CAST(game_date AS DATE) BETWEEN test_start AND test_end) AS test_rows FROM f, bets_v GROUP BY f.fold"""
 
 
 def threshold_grid(spark, sf):
@@ -177,18 +182,19 @@ STABILITY_SQL = f"{B}, s AS ({_STAB}) SELECT market, n_folds, round(fold_win_rat
 
 
 def calibration_bins(spark, sf):
-    return _six(E.calibration_bins(_bets(spark, sf), M).withColumn("bin", F.col("bin").cast("bigint")), ("market", "bin"))
+    return _six(E.calibration_bins(_steady(_bets(spark, sf)), M).withColumn("bin", F.col("bin").cast("bigint")), ("market", "bin"))
 
 
-_BINS = """ed AS (SELECT market, list_sort(list_distinct(quantile_cont(p_model, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM bets_v WHERE result IN ('win', 'loss') GROUP BY market),
+_BINS = """b9 AS (SELECT * REPLACE (round(p_model, 9) AS p_model) FROM bets_v),
+ed AS (SELECT market, list_sort(list_distinct(quantile_cont(p_model, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM b9 WHERE result IN ('win', 'loss') GROUP BY market),
 cb AS (SELECT market, bin, count(*) AS n, avg(p_model) AS pred, avg(CASE result WHEN 'win' THEN 1.0e0 ELSE 0.0e0 END) AS actual FROM
-  (SELECT b.*, len(list_filter(e[2:len(e) - 1], x -> p_model > x)) AS bin FROM bets_v b JOIN ed USING (market) WHERE result IN ('win', 'loss')) GROUP BY ALL)"""
+  (SELECT b.*, len(list_filter(e[2:len(e) - 1], lambda x: p_model > x)) AS bin FROM b9 b JOIN ed USING (market) WHERE result IN ('win', 'loss')) GROUP BY ALL)"""
 _CAL = "SELECT market, sum(n * abs(pred - actual)) / sum(n) AS cal_error, sum(n * sqrt(2 * pred * (1 - pred) / (pi() * n))) / sum(n) AS cal_noise_floor FROM cb GROUP BY market"
 BINS_SQL = f"{B}, {_BINS} SELECT market, CAST(bin AS BIGINT) AS bin, n, round(pred, 6) AS pred, round(actual, 6) AS actual FROM cb"
 
 
 def cal_error(spark, sf):
-    return _six(E.calibration_error(E.calibration_bins(_bets(spark, sf), M), M))
+    return _six(E.calibration_error(E.calibration_bins(_steady(_bets(spark, sf)), M), M))
 
 
 CAL_SQL = f"{B}, {_BINS}, c AS ({_CAL}) SELECT market, round(cal_error, 6) AS cal_error, round(cal_noise_floor, 6) AS cal_noise_floor FROM c"
@@ -340,7 +346,7 @@ SELECT book, round(p_value, 6) AS p_value, i <= coalesce(top, 0) AS survives FRO
 
 
 def _gate(spark, sf, n_boot=4000):
-    b = materialise(_bets(spark, sf).withColumns({
+    b = materialise(_steady(_bets(spark, sf)).withColumns({
         "subject": F.col("subject_id").cast("string"), "line": F.lit(None).cast("double"), "side": F.lit("over")}), "bets")
     close = b.filter("bet_id % 3 = 0").withColumn("p", F.col("p_raw") + 0.004 * (F.pmod("bet_id", F.lit(7)) - 2))
     close = close.withColumn("price", P.american_from_prob(F.col("p"))).withColumn("tag", F.lit("closing"))
@@ -374,7 +380,7 @@ GATE_SQL = f"""{_GATE} SELECT market, CASE cause WHEN '' THEN 'PASS' WHEN 'leaka
   n_bets, n_games, round(roi, 6) AS roi, round(roi_lo, 6) AS roi_lo, round(p_value, 6) AS p_value, clv_n, round(clv_mean, 6) AS clv_mean, round(fold_win_rate, 6) AS fold_win_rate, round(recent_roi, 6) AS recent_roi,
   round(cal_error, 6) AS cal_error, round(cal_bar, 6) AS cal_bar,
   array_to_string(list_sort(list_filter([CASE WHEN NOT k1 THEN 'leakage' END, CASE WHEN NOT k2 THEN 'sample' END, CASE WHEN NOT k3 THEN 'roi_positive' END, CASE WHEN NOT k4 THEN 'roi_ci' END, CASE WHEN NOT k5 THEN 'clv' END,
-    CASE WHEN NOT k6 THEN 'stability' END, CASE WHEN NOT k7 THEN 'no_decay' END, CASE WHEN NOT k8 THEN 'calibration' END, CASE WHEN survives = false THEN 'family_wise' END], x -> x IS NOT NULL)), ',') AS failed FROM fv"""
+    CASE WHEN NOT k6 THEN 'stability' END, CASE WHEN NOT k7 THEN 'no_decay' END, CASE WHEN NOT k8 THEN 'calibration' END, CASE WHEN survives = false THEN 'family_wise' END], lambda x: x IS NOT NULL)), ',') AS failed FROM fv"""
 
 
 def feature_profile(spark, sf):
@@ -387,7 +393,7 @@ def feature_profile(spark, sf):
 
 PROFILE_SQL = f"""{B}, b AS (SELECT CASE market WHEN 'm1' THEN 'batter_hits' WHEN 'm2' THEN 'pitcher_outs' WHEN 'm3' THEN 'totals' ELSE 'other' END AS market, CAST(p_raw AS DOUBLE) AS p_primary, 1.0e0 AS hold_med, CAST(NULL AS DOUBLE) AS book_std,
   CAST(ev AS DOUBLE) AS bat_hits, CAST(lead_min AS DOUBLE) AS pit_outs, CAST(CASE WHEN anchor_src = 'ladder' THEN price END AS DOUBLE) AS park_runs FROM bets_v),
-l AS (UNPIVOT INCLUDE NULLS b ON p_primary, hold_med, book_std, bat_hits, pit_outs, park_runs INTO NAME feature VALUE x),
+l AS (UNPIVOT b ON p_primary, hold_med, book_std, bat_hits, pit_outs, park_runs INTO NAME feature VALUE x),
 g AS (SELECT market, feature, count(x) AS n FROM l GROUP BY ALL HAVING count(DISTINCT x) > 1)
 SELECT * FROM g WHERE feature = 'p_primary' OR (market = 'batter_hits' AND feature IN ('bat_hits', 'park_runs')) OR (market = 'pitcher_outs' AND feature IN ('pit_outs', 'park_runs')) OR (market = 'totals' AND feature = 'park_runs')"""
 

@@ -1,8 +1,11 @@
 """Evaluation of a bet ledger: summaries, calibration, bootstrap, thresholds, stability, decay."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quotelab.dims import BOOKS, Books
@@ -76,28 +79,45 @@ def calibration_error(bins: DataFrame, by: list[str]) -> DataFrame:
         (F.sum(n * F.abs(p - F.col("actual"))) / F.sum(n)).alias("cal_error"), (F.sum(n * noise) / F.sum(n)).alias("cal_noise_floor"))
 
 
-def replicate_weight(cluster: Column, rep: Column) -> Column:
-    """Poisson(1) weight of a cluster in a replicate, from integer hashing; the same wherever it is computed."""
-    m = F.lit(1000003)
-    h = (cluster * 7919 + rep * 104729) % m
-    g = (h * h + cluster * 31 + rep * 17 + 11) % m
-    u = ((g * g + h * 7 + rep) % m) / 1000003.0
-    w = None
-    for k, cut in enumerate(POISSON_CDF):
-        w = F.when(u < cut, k) if w is None else w.when(u < cut, k)
-    return w.otherwise(len(POISSON_CDF))
+def _replicate_sums(by: list[str], n_boot: int, block: int = 512):
+    """Partition function: weighted sums per replicate over the clusters of a task.
+
+    A cluster's Poisson(1) weight in a replicate comes from integer hashing of both, so it is the same wherever and
+    however often it is computed.
+    """
+    m = 1000003
+
+    def run(batches):
+        weights = np.searchsorted(np.array(POISSON_CDF), np.arange(m) / float(m), side="right").astype(np.float64)
+        rep = np.arange(n_boot, dtype=np.int64)[None, :]
+        sums: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(by):
+                acc = sums.setdefault(key, np.zeros((2, n_boot)))
+                cluster, values = part["c"].to_numpy(np.int64), part[["s", "n"]].to_numpy(np.float64)
+                for i in range(0, len(cluster), block):
+                    c = cluster[i : i + block, None]
+                    h = (c * 7919 + rep * 104729) % m
+                    g = (h * h + c * 31 + rep * 17 + 11) % m
+                    acc += values[i : i + block].T @ weights[(g * g + h * 7 + rep) % m]
+        for key, acc in sums.items():
+            yield pd.DataFrame({**dict(zip(by, key)), "rep": rep[0], "num": acc[0], "den": acc[1]})
+
+    return run
 
 
 def bootstrap_replicates(bets: DataFrame, by: list[str], n_boot: int, cluster: str = "event_id") -> DataFrame:
     """(by, rep, roi): return in each replicate of a bootstrap over whole clusters.
 
-    Bets collapse to one sum and count per cluster. Replicates unfold inside the map task and fold up again in the
-    partial aggregation, so at most groups x replicates rows are shuffled whatever the number of clusters.
+    Bets collapse to one sum and count per cluster, evenly spread over tasks. Each task folds its clusters into one
+    sum per group and replicate, so groups x replicates rows per task are shuffled whatever the number of clusters.
+    Vectorised in Python because the weight of every (cluster, replicate) is the whole cost.
     """
+    spread = int(bets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = bets.groupBy(*by, cluster).agg(F.sum("profit").alias("s"), F.count("*").alias("n"))
-    r = c.select(*by, F.col(cluster).cast("bigint").alias("c"), "s", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).cast("bigint").alias("rep"))
-    r = r.withColumn("w", replicate_weight(F.col("c"), F.col("rep")))
-    return r.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("roi"))
+    c = c.select(*by, F.col(cluster).cast("bigint").alias("c"), "s", "n").repartition(spread)
+    schema = T.StructType([*[c.schema[k] for k in by], T.StructField("rep", T.LongType()), T.StructField("num", T.DoubleType()), T.StructField("den", T.DoubleType())])
+    return c.mapInPandas(_replicate_sums(by, n_boot), schema).groupBy(*by, "rep").agg(F.try_divide(F.sum("num"), F.sum("den")).alias("roi"))
 
 
 def bootstrap(bets: DataFrame, by: list[str], n_boot: int = 4000, cluster: str = "event_id") -> DataFrame:

@@ -6,6 +6,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quotelab.functions import names as N
@@ -92,7 +93,7 @@ def resolve_names(pairs: DataFrame, roster: DataFrame, similarity: str = "edit")
         .when(F.col("close_id").isNotNull(), "fuzzy").otherwise("unmatched").alias("match_how"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block similarity of two short names."""
     return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b)])

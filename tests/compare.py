@@ -4,6 +4,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from importlib import import_module
 
 import duckdb
 
@@ -71,7 +72,9 @@ if __name__ == "__main__":
     from quotelab.session import local_session
 
     sf = sys.argv[1]
-    wanted = sys.argv[2:]
+    wanted = []
+    for a in sys.argv[2:]:  # a query, or @module for all of a catalogue module
+        wanted += list(import_module(f"catalog.{a[1:]}").QUERIES) if a.startswith("@") else [a]
     spark = local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
     q, o = queries(), oracle_sql()

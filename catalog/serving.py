@@ -3,16 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.adapters import BOOKS_CTE, PAYOUT, RAW, TEST_BOOKS, ctes, r6, table, view
-from catalog.evaluation import _GRID, _SUMMARY, M, _bets
-from quotelab.functions import pricing as P
+from catalog.adapters import PAYOUT, TEST_BOOKS, ctes, r6, view
+from catalog.evaluation import _GRID, M, _bets
 from quotelab.operators import evaluate as E
-from quotelab.operators import gate as G
 from quotelab.operators.keys import first_per_key
 from quotelab.plans import ledger as LG
 from quotelab.session import materialise, scratch_dir
-from quotelab.sources import results as RS
-from quotelab.sources import snapshots as SN
 from quotelab.sources import tables as TB
 
 
@@ -41,10 +37,6 @@ b AS (SELECT * FROM pk0 WHERE game_date = DATE '1998-03-03' AND market = 'm3' OR
 SELECT bet_id, CAST(game_date AS VARCHAR) AS game_date, market, round(ev, 6) AS ev, round(kelly, 6) AS kelly FROM u"""
 
 
-def pick_scores(spark, sf):
-    return picks_v(spark, sf).select("bet_id", (F.round(F.col("confidence") * 2) / 2).alias("confidence_half"), r6("kelly", "kelly"))
-
-
 def performance(spark, sf):
     d = LG.performance(picks_v(spark, sf))
     return d.select("market", "picks", r6("roi", "roi"), r6("profit", "profit"), r6("hit", "hit"))

@@ -23,7 +23,7 @@ def duck(sf_dir: str):
 def norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
-    if isinstance(v, bool):
+    if isinstance(v, (bool, int)):
         return v
     if isinstance(v, (int, float)) or hasattr(v, "as_integer_ratio"):
         return round(float(v), 6) + 0.0
@@ -33,11 +33,13 @@ def norm(v):
 def rows(columns, records):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     out = [tuple(norm(r[i]) for i in order) for r in records]
-    return sorted(columns), sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
+    return sorted(columns), sorted(out, key=lambda t: tuple((x is None, isinstance(x, str), x if x is not None else 0) for x in t))
 
 
 def close(a, b):
-    if isinstance(a, float) and isinstance(b, float):
+    if isinstance(a, float) or isinstance(b, float):
+        if a is None or b is None:
+            return a is b
         return abs(a - b) <= 2e-6 * max(1.0, abs(a))
     return a == b
 

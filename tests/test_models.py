@@ -18,9 +18,9 @@ def u(*salt):
 @pytest.fixture(scope="module")
 def props(spark):
     """Market a is efficient; in market b the price misses a signal."""
-    d = spark.range(6000).withColumns({"market": F.when(F.col("id") % 2 == 0, "a").otherwise("b"), "p_cons": 0.3 + 0.4 * u(1), "noise": u(2), "signal": F.when(u(3) < 0.9, u(4) - 0.5)})
+    d = spark.range(20000).withColumns({"market": F.when(F.col("id") % 2 == 0, "a").otherwise("b"), "p_cons": 0.3 + 0.4 * u(1), "noise": u(2), "signal": F.when(u(3) < 0.9, u(4) - 0.5)})
     p = P.expit(P.logit(F.col("p_cons")) + F.when(F.col("market") == "b", 3 * F.coalesce("signal", F.lit(0.0))).otherwise(0.0))
-    d = d.withColumns({"won": F.when(u(5) < p, 1.0).otherwise(0.0), "logit_cons": P.logit(F.col("p_cons")), "game_date": F.date_add(F.lit("2023-01-01"), (F.col("id") / 8).cast("int"))})
+    d = d.withColumns({"won": F.when(u(5) < p, 1.0).otherwise(0.0), "logit_cons": P.logit(F.col("p_cons")), "game_date": F.date_add(F.lit("2023-01-01"), (F.col("id") / 25).cast("int"))})
     return d.cache()
 
 
@@ -28,10 +28,10 @@ def props(spark):
 def test_model_gains_only_where_there_is_signal(props, booster):
     m = MD.fit_market_model(props, FEATURES, "id", booster=booster, config={**MD.CONFIGS["default"], "leaves": 7, "min_leaf": 50})
     r = {x.market: x for x in m.report.collect()}
-    assert abs(r["a"].model_gain) < 0.01 and r["b"].model_gain > 0.02 and r["b"].shrink > r["a"].shrink
+    assert abs(r["a"].model_gain) < 0.01 and r["b"].model_gain > max(0.02, 10 * abs(r["a"].model_gain))
     scored = m.predict(props)
-    assert scored.count() == 6000 and scored.filter("p_over_model IS NULL OR p_over_model <= 0 OR p_over_model >= 1").count() == 0
-    assert m.oof.count() == 6000 and m.oof.select("id").distinct().count() == 6000
+    assert scored.count() == 20000 and scored.filter("p_over_model IS NULL OR p_over_model <= 0 OR p_over_model >= 1").count() == 0
+    assert m.oof.count() == 20000 and m.oof.select("id").distinct().count() == 20000
     if booster == "linear":
         top = MD.importances(m, props, "won", "id").filter("market = 'b'").orderBy(F.col("loss_gain").desc()).first()
         assert top.feature == "signal"
@@ -62,7 +62,7 @@ def test_correction_recovers_the_truth(spark):
 def test_conditional_model_is_monotone_in_edge(spark):
     cal, kept = SE.fit_selection(SE.add_apparent_edge(bets(spark)), books=TEST_BOOKS)
     base = kept.limit(1)
-    ladder = base.select("*", F.explode(F.sequence(F.lit(-0.1), F.lit(0.2), F.lit(0.02))).alias("e")).withColumn("apparent_edge", F.col("e"))
+    ladder = base.select("*", (F.explode(F.sequence(F.lit(-10), F.lit(20), F.lit(2)))).alias("e")).withColumn("apparent_edge", F.col("e") / 100)
     got = [r.p_cal for r in cal.apply(ladder).orderBy("apparent_edge").collect()]
     assert all(b >= a - 1e-9 for a, b in zip(got, got[1:]))
 
@@ -70,8 +70,9 @@ def test_conditional_model_is_monotone_in_edge(spark):
 def test_efficient_market_yields_no_profit(spark, props):
     """End-to-end negative control: without signal next to nothing clears the threshold, and that makes no money."""
     p = props.filter("market = 'a'")
-    hold = 0.02
+    hold = 0.03
     c = p.select(F.col("id"), "market", F.col("id").alias("event_id"), "game_date", F.lit("over").alias("side"), F.lit("b1").alias("book"), F.lit("direct").alias("anchor_src"), P.american_from_prob(F.col("p_cons") + hold).alias("price"), "p_cons",
                  F.lit(5.0).alias("n_books_cons"), F.lit(40.0).alias("lead_min"), F.when(F.col("won") == 1, "win").otherwise("loss").alias("result"), "noise", "signal", "logit_cons")
     d = W.walk_forward(p, c, FEATURES, ("id", "market"), "id", burn_days=400, step_days=200, books=TEST_BOOKS)
-    assert d.count() < 0.1 * c.count()
+    r = d.agg(F.count("*").alias("n"), F.avg("profit").alias("roi"), (F.stddev("profit") / F.sqrt(F.count("*"))).alias("se")).first()
+    assert r.n < 0.1 * c.count() and (r.n == 0 or r.roi < 2 * r.se)

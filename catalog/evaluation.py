@@ -278,7 +278,7 @@ def conditional_signal(spark, sf):
 
 
 SIGNAL_SQL = f"""{_SIG}, v AS (SELECT *, feature LIKE 'bat\\_%' ESCAPE '\\' OR feature LIKE 'tm\\_%' ESCAPE '\\' AS vetoable FROM sg),
-w AS (SELECT market, max(CASE WHEN auc > 0.5e0 THEN auc END) AS auc, arg_max(feature, auc) AS detail, arg_max(vetoable, auc) AS vt, count(*) FILTER (WHERE auc >= 0.6e0 AND NOT vetoable) AS n FROM v GROUP BY market)
+w AS (SELECT market, max(CASE WHEN auc > 0.5e0 THEN auc END) AS auc, arg_max(feature, auc) FILTER (WHERE auc > 0.5e0) AS detail, arg_max(vetoable, auc) FILTER (WHERE auc > 0.5e0) AS vt, count(*) FILTER (WHERE auc >= 0.6e0 AND NOT vetoable) AS n FROM v GROUP BY market)
 SELECT market, 'conditional_signal' AS check_name, CASE WHEN auc IS NULL THEN 'ok' WHEN auc >= 0.7e0 AND vt THEN 'veto' WHEN auc >= 0.6e0 THEN 'warn' ELSE 'ok' END AS severity, detail, round(auc, 6) AS auc, n FROM w"""
 
 

@@ -95,7 +95,7 @@ def signal_table(df: DataFrame, features: list[str], by: list[str], won: str, ma
 
 def conditional_signal(signals: DataFrame, by: list[str]) -> DataFrame:
     """Finding per group from its worst feature; only form rolled up from past games can be vetoed."""
-    worst = signals.groupBy(*by).agg(F.max(F.struct(F.when(F.col("auc") > 0.5, F.col("auc")).alias("auc"), "feature")).alias("w"), F.count_if(
+    worst = signals.groupBy(*by).agg(F.max(F.when(F.col("auc") > 0.5, F.struct("auc", "feature"))).alias("w"), F.count_if(
         (F.col("auc") >= WARN_AUC) & ~vetoable(F.col("feature"))).alias("informative"))
     a, f = F.col("w.auc"), F.col("w.feature")
     sev = (F.when(a.isNull(), "ok").when((a >= VETO_AUC) & vetoable(f), "veto").when(a >= WARN_AUC, "warn").otherwise("ok"))

@@ -8,6 +8,7 @@ from catalog.adapters import r6 as R
 from quotelab.functions import pricing as P
 from quotelab.operators import consensus as C
 from quotelab.operators import normalize as N
+from quotelab.session import materialise
 
 
 
@@ -47,7 +48,7 @@ def _raw_quotes(spark, sf):
 
 
 def quote_normalise(spark, sf):
-    raw = _raw_quotes(spark, sf)
+    raw = materialise(_raw_quotes(spark, sf), "feed")
     side = N.outcome_side(F.col("kind"), F.col("market"), F.col("name"), F.lit("Home Club"), F.lit("Away Club"))
     d = raw.withColumn("side", side).filter(F.col("side").isNotNull())
     d = d.withColumn("line", N.outcome_line(F.col("market"), F.col("side"), N.number(F.col("point"))))

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quotelab.operators.skew import ordered_rank, split_hot
+from quotelab.operators.skew import hot_keys, ordered_rank
 
 HOT_ROWS = 5_000_000
 # ---- fixed values: statistics and windows of each form table ------------------------------------
@@ -40,13 +40,17 @@ def lagged_form(
 
     A window of w covers the w rows before the current one and is null below max(2, w // 5) values; the
     expanding mean needs three. ``prior`` names a count of earlier rows, ``rest`` the days since the last one.
-    An entity beyond ``hot_rows`` rows is cut into ordered chunks, each with the tail of its predecessor.
+    Entities beyond ``hot_rows`` rows, looked for by one count over the entity column, are cut into ordered chunks,
+    each with the tail of its predecessor.
     """
+    plain = lambda d: _plain(d, entity, start, tie, cols, windows, prefix, prior, rest)
     if hot_rows is None:
-        return _plain(df, entity, start, tie, cols, windows, prefix, prior, rest)
-    cold, hot = split_hot(df, [entity], hot_rows)
-    out = _plain(cold, entity, start, tie, cols, windows, prefix, prior, rest)
-    return out.unionByName(_chunked(hot, entity, start, tie, cols, windows, prefix, prior, rest, hot_rows))
+        return plain(df)
+    hot = hot_keys(df, [entity], hot_rows)
+    if hot.isEmpty():
+        return plain(df)
+    whole = _chunked(df.join(hot, entity, "left_semi"), entity, start, tie, cols, windows, prefix, prior, rest, hot_rows)
+    return plain(df.join(hot, entity, "left_anti").select(*df.columns)).unionByName(whole.select(*plain(df).columns))
 
 
 def _rolling(cols, windows, prefix, base):

@@ -10,13 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """(cold, hot): rows whose key has at most ``limit`` rows, and the rest.
-
-    At most rows/limit keys are hot. When none is, adaptive execution drops the hot branch.
-    """
-    hot_keys = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit).select(*keys)
-    return df.join(hot_keys, keys, "left_anti"), df.join(hot_keys, keys, "left_semi")
+def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Keys with more than ``limit`` rows: at most rows/limit of them, from a count that reads only the keys."""
+    return df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit).select(*keys)
 
 
 def ordered_rank(

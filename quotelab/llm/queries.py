@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelab.llm import decontaminate, license_scan
+from quotelab.llm import decontaminate, license_scan, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    cut = substring_dedup.repeated_passages(docs).select("doc_id", "rid", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return substring_dedup.word_digests(docs).join(cut, ["doc_id", "rid"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce("kept_sha256", "sha256").alias("kept_sha256"),
+    )
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
     base = F.array_distinct(F.col("base.label"))
@@ -36,6 +45,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_license_scan": op8_license_scan,
 }
 

@@ -67,3 +67,34 @@ def licenses(docs):
         places = [i for i, _ in at]
         out.append((d, len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))))
     return out
+
+
+def fingerprint(text):
+    import xxhash
+
+    w = TOKEN.findall(lower(text))
+    shingles = [" ".join(w[i:i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups(prints, radius=4):
+    """prints: (doc_id, fingerprint) pairs. The least doc_id that links reach, for each row."""
+    fps = sorted({f for _, f in prints})
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= radius:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    least = {}
+    for d, f in prints:
+        if d is not None:
+            least[find(f)] = min(d, least.get(find(f), d))
+    return [(d, f"{f:016x}", least.get(find(f))) for d, f in prints]

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelab.llm import decontaminate, license_scan, packing, simhash, substring_dedup
+from quotelab.llm import decontaminate, language_id, license_scan, packing, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(_table(spark, sf_dir, "documents"), tokenizer_files()[0])
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     cut = substring_dedup.repeated_passages(docs).select("doc_id", "rid", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
+    "op4_language_id": op4_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_license_scan": op8_license_scan,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelab.llm import decontaminate, language_id, license_scan, packing, simhash, substring_dedup
+from quotelab.llm import decontaminate, language_id, license_scan, line_dedup, packing, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents")).select(
+        F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -70,6 +75,24 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_license_scan": op8_license_scan,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM documents
+        ), spread AS (
+            SELECT trim(line, ' ') AS k, count(DISTINCT source) AS sites FROM lines WHERE trim(line, ' ') <> '' GROUP BY 1
+        ), marked AS (
+            SELECT l.*, coalesce(s.sites >= 4, false)
+                   AND row_number() OVER (PARTITION BY trim(line, ' ') ORDER BY doc_id, pos) > 1 AS gone
+            FROM lines l LEFT JOIN spread s ON trim(l.line, ' ') = s.k
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_sha256
+        FROM marked GROUP BY doc_id
+    """,
+}

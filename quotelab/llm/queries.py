@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelab.llm import decontaminate, language_id, license_scan, line_dedup, packing, simhash, substring_dedup
+from quotelab.llm import decontaminate, language_id, license_scan, line_dedup, packing, pii, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(_table(spark, sf_dir, "documents"), key="query key; a deployment brings its own")
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_entities", "text")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -76,6 +81,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {

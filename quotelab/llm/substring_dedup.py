@@ -15,6 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,12 +46,17 @@ def _anchor_rows(window: int):
 
     def run(batches):
         for b in batches:
-            anchors = []
+            n_words, whole, anchors = [], [], []
             for text in b.column("text").to_pylist():
                 words = tokens(text)
                 at = cover_positions(len(words) - size + 1 if len(words) >= window else 0)
                 anchors.append(run_hashes(word_hashes(words), at, size) if len(at) else at)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), _lists(anchors)], names=["rid", "anchors"])
+                n_words.append(len(words))
+                whole.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("rid"), pa.array(n_words, pa.int64()), pa.array(whole, pa.binary()), _lists(anchors)],
+                names=["doc_id", "rid", "n_words", "whole", "anchors"],
+            )
     return run
 
 
@@ -140,18 +146,28 @@ def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
         raise ValueError(f"a window has {PERIOD} words at least")
     rows = identified(docs, id_col, text_col).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    hashed = materialise(rows.mapInArrow(_anchor_rows(window), "rid long, anchors array<long>"), "anchors")
+    hashed = materialise(rows.mapInArrow(
+        _anchor_rows(window), f"doc_id {kind}, rid long, n_words long, whole binary, anchors array<long>"), "anchors")
+    # A copy of a smaller document's words loses them all, and gives no word that the smaller one does not.
+    whole = hashed.filter(F.col("n_words") >= window).select("doc_id", "rid", "n_words", "whole")
+    first = materialise(whole.groupBy("whole").agg(F.min("doc_id").alias("first")), "first")
+    copies = materialise(whole.join(first, "whole").filter("doc_id > first").select("doc_id", "rid", "n_words").distinct(), "copies")
+
     often = hashed.select(F.explode(F.array_distinct("anchors")).alias("h")).groupBy("h").count().filter("count > 1").select("h")
-    placed = hashed.select("rid", F.posexplode("anchors").alias("k", "h")).join(often, "h")
-    shared = materialise(placed.groupBy("rid").agg(F.collect_set("k").alias("shared")), "shared")
+    placed = hashed.select("rid", F.posexplode("anchors").alias("k", "h")).join(materialise(often, "often"), "h")
+    shared = placed.groupBy("rid").agg(F.collect_set("k").alias("shared"))
+    named = copies.groupBy("rid").agg(F.collect_set("doc_id").alias("copies"))
+    shared = materialise(shared.join(named, "rid", "left"), "shared")
     discard(hashed)
 
     packed = rows.mapInArrow(_packed_rows, f"doc_id {kind}, rid long, packed binary")
-    found = materialise(packed.join(shared, "rid").mapInArrow(
+    found = materialise(packed.join(shared, "rid").filter(
+        "copies IS NULL OR NOT array_contains(copies, doc_id)").mapInArrow(
         _window_rows(window), f"doc_id {kind}, rid long, packed binary, start array<int>, w1 array<long>, w2 array<int>"), "windows")
     windows = found.select("doc_id", "rid", F.explode(F.arrays_zip("start", "w1", "w2")).alias("w")).select("doc_id", "rid", "w.*")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    later = windows.join(least.drop("most"), ["w1", "w2"]).filter("doc_id > least")
+    later = windows.join(materialise(least.drop("most"), "least"), ["w1", "w2"]).filter("doc_id > least")
     starts = later.groupBy("doc_id", "rid").agg(F.collect_set("start").alias("starts"))
     cut = found.select("doc_id", "rid", "packed").dropDuplicates(["doc_id", "rid"]).join(starts, ["doc_id", "rid"])
-    return cut.mapInArrow(_kept_rows(window), f"doc_id {kind}, rid long, n_removed long, kept binary")
+    cut = cut.mapInArrow(_kept_rows(window), f"doc_id {kind}, rid long, n_removed long, kept binary")
+    return cut.unionByName(copies.select("doc_id", "rid", F.col("n_words").alias("n_removed"), F.lit("").cast("binary").alias("kept")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelab.llm import ann, decontaminate, language_id, license_scan, line_dedup, packing, pii, simhash, substring_dedup
+from quotelab.llm import ann, decontaminate, language_id, license_scan, line_dedup, packing, pii, quality, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     cut = substring_dedup.repeated_passages(docs).select("doc_id", "rid", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -83,6 +87,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_quality": op6_quality,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,

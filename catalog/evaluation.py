@@ -129,6 +129,21 @@ th AS (SELECT market, coalesce(arg_max(t, score) FILTER (WHERE n >= 150 AND roi
 GRID_SQL = f"{_GRID} SELECT market, round(t, 6) AS t, n, round(roi, 6) AS roi, round(sd, 6) AS sd, n_games, round(score, 6) AS score FROM g"
 
 
+def threshold_defaults(spark, sf):
+    """A market whose bets reach no cut, one in which no cut has a profit, and one without any bet."""
+    b = _bets(spark, sf).withColumns({
+        "ev": F.when(F.col("market") == "m1", F.col("ev") - 9).otherwise(F.col("ev")),
+        "profit": F.when(F.col("market") == "m2", F.lit(-1.0)).otherwise(F.col("profit"))})
+    groups = b.select("market").distinct().union(spark.createDataFrame([("none",)], "market string"))
+    thr = E.choose_thresholds(E.threshold_grid(b, M), M, bets=b, groups=groups)
+    return thr.select("market", r6("threshold", "threshold"))
+
+
+DEFAULTS_SQL = _GRID.replace("bets_v AS (", "bets0 AS (", 1).replace(", g0 AS (", """, bets_v AS (SELECT * REPLACE (CASE market WHEN 'm1' THEN ev - 9 ELSE ev END AS ev,
+  CASE market WHEN 'm2' THEN -1.0e0 ELSE profit END AS profit) FROM bets0), g0 AS (""", 1) + """
+SELECT market, round(coalesce(threshold, 0.03e0), 6) AS threshold FROM (SELECT DISTINCT market FROM bets_v) LEFT JOIN th USING (market) UNION ALL SELECT 'none', 0.02e0"""
+
+
 def segment_filter(spark, sf):
     """Segments that may bet at the chosen threshold of their market."""
     b = _bets(spark, sf)
@@ -204,7 +219,7 @@ def recent_decay(spark, sf):
     return _six(E.recent(_bets(spark, sf), M))
 
 
-_RECENT = """rk AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY CAST(game_date AS DATE), bet_id % 64, bet_id) AS rk, count(*) OVER (PARTITION BY market) AS gn FROM bets_v),
+_RECENT = """rk AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY CAST(game_date AS DATE), bet_id) AS rk, count(*) OVER (PARTITION BY market) AS gn FROM bets_v),
 rc AS (SELECT market, count(*) AS recent_n, avg(profit) AS recent_roi, count(*) >= 60 AND avg(profit) + stddev_samp(profit) / sqrt(count(*)) < 0 AS decayed
   FROM rk WHERE rk > gn - greatest(floor(gn * (1.0e0 / 3.0e0)), 1) GROUP BY market)"""
 RECENT_SQL = f"{B}, {_RECENT} SELECT market, recent_n, round(recent_roi, 6) AS recent_roi, decayed FROM rc"
@@ -255,7 +270,7 @@ def _signals(spark, sf):
     b = _bets(spark, sf).filter("result <> 'push'").select(
         "market", "bet_id", E.won_flag(F.col("result")).alias("won"), P.logit(F.col("p_raw")).alias("lc"), F.col("n_books_cons").alias("n_books_prop"), F.col("ev").alias("tm_edge"),
         (F.col("profit") + F.pmod("bet_id", F.lit(7)) * 0.3).alias("bat_leak"), F.when(F.col("lead_min") > 30, F.col("lead_min")).alias("lead_min"))
-    return A.signal_table(b, ["n_books_prop", "tm_edge", "bat_leak", "lead_min"], M, "won", "lc", "bet_id", F.floor(F.col("lc") * 64))
+    return A.signal_table(b, ["n_books_prop", "tm_edge", "bat_leak", "lead_min"], M, "won", "lc", "bet_id")
 
 
 def stratified_auc(spark, sf):
@@ -265,7 +280,7 @@ def stratified_auc(spark, sf):
 _SIG = f"""{B}, b0 AS (SELECT market, bet_id, CASE result WHEN 'win' THEN 1 ELSE 0 END AS won, {LOGIT.format('p_raw')} AS lc, n_books_cons AS n_books_prop, ev AS tm_edge,
   profit + (bet_id % 7) * 0.3e0 AS bat_leak, CASE WHEN lead_min > 30 THEN lead_min END AS lead_min FROM bets_v WHERE result <> 'push'),
 lg AS (SELECT * FROM (UNPIVOT b0 ON n_books_prop, tm_edge, bat_leak, lead_min INTO NAME feature VALUE x) WHERE x IS NOT NULL),
-nt AS (SELECT *, ntile(20) OVER (PARTITION BY market, feature ORDER BY lc, bet_id % 64, bet_id) AS st FROM lg),
+nt AS (SELECT *, ntile(20) OVER (PARTITION BY market, feature ORDER BY lc, bet_id) AS st FROM lg),
 rk AS (SELECT *, rank() OVER (PARTITION BY market, feature, st ORDER BY x) + (count(*) OVER (PARTITION BY market, feature, st, x) - 1) / 2.0e0 AS r FROM nt),
 su AS (SELECT market, feature, st, count(*) AS n, sum(won) AS n1, count(*) - sum(won) AS n0, sum(CASE won WHEN 1 THEN r END) AS sr FROM rk GROUP BY ALL),
 sa AS (SELECT market, feature, sum(n) AS n, sum(CASE WHEN n >= 50 AND n1 > 0 AND n0 > 0 THEN sr - n1 * (n1 + 1) / 2.0e0 END) / sum(CASE WHEN n >= 50 AND n1 > 0 AND n0 > 0 THEN n1 * n0 END) AS a FROM su GROUP BY ALL),
@@ -334,18 +349,18 @@ SELECT *, max(CASE WHEN severity = 'veto' THEN 1 ELSE 0 END) OVER () = 1 AS veto
 
 def bh_family(spark, sf):
     """False-discovery correction over the books as a family of tests."""
-    p = E.bootstrap(_bets(spark, sf).filter("ev >= 0.02"), ["book"], 1000)
+    p = E.bootstrap(_bets(spark, sf).filter("ev >= 0.02"), ["book"], 8000)
     d = E.benjamini_hochberg(p.select("book", "p_value"), 0.6, "book")
     return d.select("book", r6("p_value", "p_value"), "survives")
 
 
-BH_SQL = f"""{B.replace("bets_v AS (", "bets0 AS (")}, bets_v AS (SELECT * EXCLUDE (market), book AS market FROM bets0 WHERE ev >= 0.02e0), {_boot(1000)},
+BH_SQL = f"""{B.replace("bets_v AS (", "bets0 AS (")}, bets_v AS (SELECT * EXCLUDE (market), book AS market FROM bets0 WHERE ev >= 0.02e0), {_boot(8000)},
 r AS (SELECT market AS book, p_value, row_number() OVER (ORDER BY p_value, market) AS i, count(*) OVER () AS m FROM bt),
 k AS (SELECT *, max(CASE WHEN p_value <= 0.6e0 * i / m THEN i END) OVER () AS top FROM r)
 SELECT book, round(p_value, 6) AS p_value, i <= coalesce(top, 0) AS survives FROM k"""
 
 
-def _gate(spark, sf, n_boot=4000):
+def _gate(spark, sf, n_boot=8000):
     b = materialise(_steady(_bets(spark, sf)).withColumns({
         "subject": F.col("subject_id").cast("string"), "line": F.lit(None).cast("double"), "side": F.lit("over")}), "bets")
     close = b.filter("bet_id % 3 = 0").withColumn("p", F.col("p_raw") + 0.004 * (F.pmod("bet_id", F.lit(7)) - 2))
@@ -362,7 +377,7 @@ def gate_verdicts(spark, sf):
                     F.array_join(F.array_sort(F.map_keys(F.map_filter("checks", lambda k, ok: ~ok))), ",").alias("failed"))
 
 
-_GATE = f"""{B}, {BOOKS_CTE}, {_BINS}, {_RECENT}, {_boot(4000)}, sm AS ({_SUMMARY}), sb AS ({_STAB}), ce AS ({_CAL}),
+_GATE = f"""{B}, {BOOKS_CTE}, {_BINS}, {_RECENT}, {_boot(8000)}, sm AS ({_SUMMARY}), sb AS ({_STAB}), ce AS ({_CAL}),
 cp AS (SELECT event_id, subject_id, market, book, max(CASE WHEN 1 / p >= 2 THEN (1 / p - 1) * 100 ELSE -100 / (1 / p - 1) END) AS cp FROM
   (SELECT *, p_raw + 0.004e0 * ((bet_id % 7) - 2) AS p FROM bets_v WHERE bet_id % 3 = 0) GROUP BY ALL),
 cv AS (SELECT market, count(*) AS clv_n, avg({RAW.format('cp')} - {RAW.format('price')}) AS clv_mean FROM bets_v JOIN cp USING (event_id, subject_id, market, book) GROUP BY market),
@@ -399,14 +414,14 @@ SELECT * FROM g WHERE feature = 'p_primary' OR (market = 'batter_hits' AND featu
 
 QUERIES = {
     "anchor_weights": anchor_weights, "consensus_schemes": consensus_schemes, "scheme_weights": scheme_weights, "shrink_grid": shrink_grid, "walk_folds": walk_folds, "fold_slices": fold_slices,
-    "threshold_grid": threshold_grid, "segment_filter": segment_filter, "one_bet": one_bet, "bet_summary": bet_summary, "fold_stability": fold_stability, "calibration_bins": calibration_bins,
+    "threshold_grid": threshold_grid, "threshold_defaults": threshold_defaults, "segment_filter": segment_filter, "one_bet": one_bet, "bet_summary": bet_summary, "fold_stability": fold_stability, "calibration_bins": calibration_bins,
     "cal_error": cal_error, "recent_decay": recent_decay, "latest_rows": latest_rows, "breakdowns": breakdowns, "cluster_bootstrap": cluster_bootstrap, "boot_pvalue": boot_pvalue,
     "stratified_auc": stratified_auc, "conditional_signal": conditional_signal, "audit_timing": audit_timing, "audit_fold": audit_fold, "audit_asof": audit_asof, "bh_family": bh_family,
     "gate_verdicts": gate_verdicts, "feature_profile": feature_profile,
 }
 ORACLES = {
     "anchor_weights": ANCHOR_SQL, "consensus_schemes": SCHEMES_SQL, "scheme_weights": SCHEME_WEIGHTS_SQL, "shrink_grid": SHRINK_SQL, "walk_folds": FOLDS_SQL, "fold_slices": SLICES_SQL,
-    "threshold_grid": GRID_SQL, "segment_filter": SEGMENT_SQL, "one_bet": ONE_BET_SQL, "bet_summary": SUMMARY_SQL, "fold_stability": STABILITY_SQL, "calibration_bins": BINS_SQL,
+    "threshold_grid": GRID_SQL, "threshold_defaults": DEFAULTS_SQL, "segment_filter": SEGMENT_SQL, "one_bet": ONE_BET_SQL, "bet_summary": SUMMARY_SQL, "fold_stability": STABILITY_SQL, "calibration_bins": BINS_SQL,
     "cal_error": CAL_SQL, "recent_decay": RECENT_SQL, "latest_rows": LATEST_ROWS_SQL, "breakdowns": BREAKDOWN_SQL, "cluster_bootstrap": BOOT_SQL, "boot_pvalue": PVALUE_SQL,
     "stratified_auc": AUC_SQL, "conditional_signal": SIGNAL_SQL, "audit_timing": TIMING_SQL, "audit_fold": AUDIT_FOLD_SQL, "audit_asof": ASOF_SQL, "bh_family": BH_SQL,
     "gate_verdicts": GATE_SQL, "feature_profile": PROFILE_SQL,

@@ -1,6 +1,8 @@
 """Name keys for entity matching, as native string expressions."""
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,11 +19,20 @@ TEAM_ALIASES = {
     "st louis cardinals": "st. louis cardinals",
 }
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 # ---- end of fixed values -----------------------------------------------------------------------
 
 
+def _decomposable(first: int, last: int) -> tuple[str, str]:
+    """Lower-case letters of a range that decompose to a plain letter and marks, and those plain letters."""
+    pairs = [(c, unicodedata.normalize("NFKD", c)) for c in map(chr, range(first, last + 1)) if c == c.lower()]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and "a" <= d[0] <= "z" and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+#: Latin-1, Latin Extended-A and -B, Latin Extended Additional.
+_ACCENTED, _PLAIN = map("".join, zip(_decomposable(0xC0, 0x24F), _decomposable(0x1E00, 0x1EFF), strict=True))
+
+
 def fold(name: Column) -> Column:
     """Lower case without accents. Decomposed input loses its combining marks as well."""
     return F.regexp_replace(F.translate(F.lower(name), _ACCENTED, _PLAIN), r"\p{Mn}", "")

@@ -85,11 +85,11 @@ def vetoable(feature: Column) -> Column:
     return reduce(lambda a, b: a | b, [feature.startswith(p) for p in FORM_PREFIXES])
 
 
-def signal_table(df: DataFrame, features: list[str], by: list[str], won: str, market: str, tie: str, market_bin: Column, min_rows: int = MIN_SIGNAL_ROWS) -> DataFrame:
+def signal_table(df: DataFrame, features: list[str], by: list[str], won: str, market: str, tie: str, min_rows: int = MIN_SIGNAL_ROWS) -> DataFrame:
     """(by, feature, n, auc): what each feature still separates once the market is held fixed, at least 0.5."""
-    long = df.select(*by, won, market, tie, market_bin.alias("__mb"), F.inline(F.array(*[
+    long = df.select(*by, won, market, tie, F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])))
-    auc = stratified_auc(long, [*by, "feature"], "x", won, market, tie, F.col("__mb"))
+    auc = stratified_auc(long, [*by, "feature"], "x", won, market, tie)
     return auc.filter(F.col("n") >= min_rows).withColumn("auc", F.greatest("auc", 1 - F.col("auc")))
 
 

@@ -12,6 +12,7 @@ from quotelab.dims import BOOKS, Books
 from quotelab.functions import pricing as P
 from quotelab.operators.keys import first_per_key
 from quotelab.operators.skew import equal_width_bin, ordered_rank, quantiles, running_totals
+from quotelab.session import materialise
 
 DECIDED = ("win", "loss")
 # ---- fixed values: grids, bounds, Poisson(1) distribution function -------------------------------
@@ -106,6 +107,12 @@ def _replicate_sums(by: list[str], n_boot: int, block: int = 512):
     return run
 
 
+def integer_key(df: DataFrame, column: str) -> Column:
+    """An id as a small non-negative integer: integers as they are, ids of any other type by their hash."""
+    whole = isinstance(df.schema[column].dataType, (T.IntegralType, T.DecimalType))
+    return F.col(column).cast("bigint") if whole else F.pmod(F.xxhash64(column), F.lit(1 << 31))
+
+
 def bootstrap_replicates(bets: DataFrame, by: list[str], n_boot: int, cluster: str = "event_id") -> DataFrame:
     """(by, rep, roi): return in each replicate of a bootstrap over whole clusters.
 
@@ -115,7 +122,7 @@ def bootstrap_replicates(bets: DataFrame, by: list[str], n_boot: int, cluster: s
     """
     spread = int(bets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = bets.groupBy(*by, cluster).agg(F.sum("profit").alias("s"), F.count("*").alias("n"))
-    c = c.select(*by, F.col(cluster).cast("bigint").alias("c"), "s", "n").repartition(spread)
+    c = c.select(*by, integer_key(c, cluster).alias("c"), "s", "n").repartition(spread)
     schema = T.StructType([*[c.schema[k] for k in by], T.StructField("rep", T.LongType()), T.StructField("num", T.DoubleType()), T.StructField("den", T.DoubleType())])
     return c.mapInPandas(_replicate_sums(by, n_boot), schema).groupBy(*by, "rep").agg(F.try_divide(F.sum("num"), F.sum("den")).alias("roi"))
 
@@ -161,18 +168,31 @@ def threshold_grid(bets: DataFrame, by: list[str], ev: str = "ev") -> DataFrame:
     return d.withColumn("score", F.col("roi") * F.sqrt(F.greatest("n_games", F.lit(1))) / spread)
 
 
-def choose_thresholds(grid: DataFrame, by: list[str], min_bets: int = MIN_GRID_BETS) -> DataFrame:
-    """(by, threshold): the cut with the best score among those with enough bets and a profit; the lowest of equals."""
+def choose_thresholds(grid: DataFrame, by: list[str], min_bets: int = MIN_GRID_BETS, bets: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """(by, threshold): the cut with the best score among those with enough bets and a profit; the lowest of equals.
+
+    ``bets`` are those behind the grid: a group whose bets reach no cut has a fallback like one in which no cut qualifies.
+    ``groups`` lists all groups there are; one without any bet has the threshold of an empty ledger.
+    """
     ok = (F.col("n") >= min_bets) & (F.col("roi") > 0)
     best = F.max(F.when(ok, F.struct("score", (-F.col("t")).alias("nt"))))
-    return grid.groupBy(*by).agg(best.alias("b")).select(*by, F.coalesce(-F.col("b.nt"), F.lit(FALLBACK_THRESHOLD)).alias("threshold"))
+    chosen = grid.groupBy(*by).agg(best.alias("b")).select(*by, F.coalesce(-F.col("b.nt"), F.lit(FALLBACK_THRESHOLD)).alias("threshold"))
+    for known, default in ((bets, FALLBACK_THRESHOLD), (groups, EMPTY_THRESHOLD)):
+        if known is not None:
+            chosen = known.select(*by).distinct().join(chosen, by, "left").na.fill(default, ["threshold"])
+    return chosen
 
 
-def profitable_segments(bets: DataFrame, by: list[str], min_n: int = MIN_SEGMENT_BETS) -> DataFrame:
-    """(by, segment) allowed to bet: too thin to judge, or profitable. ``bets`` already clear the threshold."""
+def judged_segments(bets: DataFrame, by: list[str], min_n: int = MIN_SEGMENT_BETS) -> DataFrame:
+    """(by, segment, allowed) of every segment with bets: too thin to judge, or profitable. ``bets`` clear the threshold."""
     d = bets.withColumn("segment", P.segment(F.col("anchor_src"), F.col("price")))
     g = d.groupBy(*by, "segment").agg(F.count("*").alias("n"), F.avg("profit").alias("roi"))
-    return g.filter((F.col("n") < min_n) | (F.col("roi") > 0)).select(*by, "segment")
+    return g.select(*by, "segment", ((F.col("n") < min_n) | (F.col("roi") > 0)).alias("allowed"))
+
+
+def profitable_segments(bets: DataFrame, by: list[str], min_n: int = MIN_SEGMENT_BETS) -> DataFrame:
+    """(by, segment) allowed to bet: too thin to judge, or profitable. ``bets`` already clear the threshold."""
+    return judged_segments(bets, by, min_n).filter("allowed").select(*by, "segment")
 
 
 def one_bet(bets: DataFrame, key: list[str], ev: str, tie: list[str]) -> DataFrame:
@@ -185,8 +205,7 @@ def recent(bets: DataFrame, by: list[str], share: float = RECENT_SHARE, z: float
 
     Decay is called only where the recent mean lies below zero by more than ``z`` standard errors.
     """
-    day = F.to_date("game_date")
-    d = ordered_rank(bets, by, day, F.col(tie), day)
+    d = ordered_rank(bets, by, F.to_date("game_date"), [tie])
     k = F.greatest(F.floor(F.col("group_rows") * share), F.lit(1))
     g = d.filter(F.col("rank") > F.col("group_rows") - k).groupBy(*by).agg(
         F.count("*").alias("recent_n"), F.avg("profit").alias("recent_roi"), F.stddev_samp("profit").alias("sd"))
@@ -195,9 +214,8 @@ def recent(bets: DataFrame, by: list[str], share: float = RECENT_SHARE, z: float
 
 
 def most_recent(df: DataFrame, by: list[str], n: int, tie: str, date: str = "game_date") -> DataFrame:
-    """The ``n`` most recent rows of each group."""
-    day = F.to_date(date)
-    d = ordered_rank(df, by, day, F.col(tie), day)
+    """The ``n`` most recent rows of each group by (date, tie)."""
+    d = ordered_rank(df, by, F.to_date(date), [tie])
     return d.filter(F.col("rank") > F.col("group_rows") - n).drop("rank", "group_rows")
 
 
@@ -212,19 +230,21 @@ def breakdowns(bets: DataFrame, min_book_bets: int = 10) -> DataFrame:
     return g.filter((F.col("breakdown") != "book") | (F.col("n") >= min_book_bets))
 
 
-def stratified_auc(df: DataFrame, by: list[str], x: str, won: str, market: str, tie: str, market_bin: Column, strata: int = STRATA, min_stratum: int = MIN_STRATUM, n_bins: int = 256) -> DataFrame:
+def stratified_auc(df: DataFrame, by: list[str], x: str, won: str, market: str, tie: str, strata: int = STRATA, min_stratum: int = MIN_STRATUM, n_bins: int = 256) -> DataFrame:
     """(by, n, auc): AUC of ``x`` within equal-count strata of the market value, pooled by pairs compared.
 
     Strata come from ordered ranks and the comparisons from running counts per distinct value, so neither step
     sorts a whole group in one task.
     """
     d = df.filter(F.col(x).isNotNull() & F.col(won).isNotNull() & F.col(market).isNotNull())
-    d = ordered_rank(d, by, F.col(market), F.col(tie), market_bin)
+    d = ordered_rank(d, by, F.col(market), [tie])
     q, extra, r0 = F.floor(F.col("group_rows") / strata), F.pmod(F.col("group_rows"), F.lit(strata)), F.col("rank") - 1
     head = extra * (q + 1)
     d = d.withColumn("stratum", F.when(r0 < head, F.floor(r0 / (q + 1))).otherwise(extra + F.floor(F.try_divide(r0 - head, q))))
     keys = [*by, "stratum"]
-    d = d.select(*keys, F.col(x).alias("x"), F.col(won).cast("bigint").alias("n1"), (1 - F.col(won)).cast("bigint").alias("n0"))
+    # One row per distinct value from here on, stored: bins, running counts and offsets all read it.
+    d = materialise(d.groupBy(*keys, F.col(x).alias("x")).agg(
+        F.sum(F.col(won).cast("bigint")).alias("n1"), F.sum((1 - F.col(won)).cast("bigint")).alias("n0")), "strata")
     d = equal_width_bin(d, keys, "x", n_bins)
     v = running_totals(d.withColumnRenamed("__w", "bin"), [*keys, "bin"], "x", F.lit(0), ["n1", "n0"]).select(*keys, "bin", "x", "n1", "n0", F.col("n0_below").alias("below_in_bin"))
     bins = v.groupBy(*keys, "bin").agg(F.sum("n0").alias("b0"))

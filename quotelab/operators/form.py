@@ -5,9 +5,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quotelab.operators.skew import hot_keys, ordered_rank
+from quotelab.operators.keys import first_per_key, null_safe_join
+from quotelab.operators.skew import ordered_rank
 
-HOT_ROWS = 5_000_000
+#: Rows of one entity that a task handles together; the overlap with the chunk before is the longest window.
+CHUNK_ROWS = 8192
 # ---- fixed values: statistics and windows of each form table ------------------------------------
 BATTING = ("hits", "total_bases", "home_runs", "rbi", "runs", "strike_outs", "walks")
 PITCHING = ("outs", "strike_outs", "hits_allowed", "earned_runs", "walks", "home_runs_allowed", "pitch_count")
@@ -34,54 +36,17 @@ def lagged_form(
     prefix: str = "",
     prior: str | None = None,
     rest: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Adds lagged rolling and expanding means of ``cols`` per entity, ordered by (start, tie).
 
     A window of w covers the w rows before the current one and is null below max(2, w // 5) values; the
     expanding mean needs three. ``prior`` names a count of earlier rows, ``rest`` the days since the last one.
-    Entities beyond ``hot_rows`` rows, looked for by one count over the entity column, are cut into ordered chunks,
-    each with the tail of its predecessor.
+    Every entity is cut into ordered chunks of ``chunk_rows``, each led by the tail of its predecessor, so a few entities
+    with long histories spread over as many tasks as their rows fill; sums of whole chunks carry the expanding means.
     """
-    plain = lambda d: _plain(d, entity, start, tie, cols, windows, prefix, prior, rest)
-    if hot_rows is None:
-        return plain(df)
-    hot = hot_keys(df, [entity], hot_rows)
-    if hot.isEmpty():
-        return plain(df)
-    whole = _chunked(df.join(hot, entity, "left_semi"), entity, start, tie, cols, windows, prefix, prior, rest, hot_rows)
-    return plain(df.join(hot, entity, "left_anti").select(*df.columns)).unionByName(whole.select(*plain(df).columns))
-
-
-def _rolling(cols, windows, prefix, base):
-    out = {}
-    for c in cols:
-        for n in windows:
-            w = base.rowsBetween(-n, -1)
-            out[f"{prefix}{c}_r{n}"] = F.when(F.count(c).over(w) >= min_observations(n), F.avg(c).over(w))
-    return out
-
-
-def _days_since(start, base):
-    return F.datediff(F.to_date(start), F.to_date(F.lag(start).over(base)))
-
-
-def _plain(df, entity, start, tie, cols, windows, prefix, prior, rest):
-    base = Window.partitionBy(entity).orderBy(start, tie)
-    out = _rolling(cols, windows, prefix, base)
-    for c in cols:
-        w = base.rowsBetween(Window.unboundedPreceding, -1)
-        out[f"{prefix}{c}_exp"] = F.when(F.count(c).over(w) >= 3, F.avg(c).over(w))
-    if prior:
-        out[prior] = (F.row_number().over(base) - 1).cast("bigint")
-    if rest:
-        out[rest] = _days_since(start, base)
-    return df.select("*", *[v.alias(k) for k, v in out.items()])
-
-
-def _chunked(df, entity, start, tie, cols, windows, prefix, prior, rest, hot_rows):
-    size, halo = max(hot_rows, 10 * max(windows)), max(windows)
-    d = ordered_rank(df, [entity], F.col(start), F.col(tie), F.to_date(start), 1, "__rank", "__total")
+    size, halo = max(chunk_rows, max(windows)), max(windows)
+    d = ordered_rank(df, [entity], F.col(start), [tie], "__rank", "__total")
     chunk, pos = F.floor((F.col("__rank") - 1) / size), F.pmod(F.col("__rank") - 1, F.lit(size))
     own = F.struct(chunk.alias("chunk"), F.lit(False).alias("halo"))
     tail = F.when(pos >= size - halo, F.array(own, F.struct((chunk + 1).alias("chunk"), F.lit(True).alias("halo"))))
@@ -98,7 +63,7 @@ def _chunked(df, entity, start, tie, cols, windows, prefix, prior, rest, hot_row
         entity, "chunk", *[F.coalesce(F.sum(f"__{k}_{c}").over(carried), F.lit(0)).alias(f"__{k}_{c}") for c in cols for k in "sn"]
     )
     out = _rolling(cols, windows, prefix, base)
-    d = d.join(sums, [entity, "chunk"])
+    d = null_safe_join(d, sums, [entity, "chunk"], "inner", [entity])
     for c in cols:
         n = F.col(f"__n_{c}") + F.count(mine(c)).over(before)
         s = F.col(f"__s_{c}") + F.coalesce(F.sum(mine(c)).over(before), F.lit(0))
@@ -107,8 +72,20 @@ def _chunked(df, entity, start, tie, cols, windows, prefix, prior, rest, hot_row
         out[prior] = F.col("__rank") - 1
     if rest:
         out[rest] = _days_since(start, base)
-    keep = df.columns
-    return d.select(*keep, *[v.alias(k) for k, v in out.items()], "halo").filter(~F.col("halo")).drop("halo")
+    return d.select(*df.columns, *[v.alias(k) for k, v in out.items()], "halo").filter(~F.col("halo")).drop("halo")
+
+
+def _rolling(cols, windows, prefix, base):
+    out = {}
+    for c in cols:
+        for n in windows:
+            w = base.rowsBetween(-n, -1)
+            out[f"{prefix}{c}_r{n}"] = F.when(F.count(c).over(w) >= min_observations(n), F.avg(c).over(w))
+    return out
+
+
+def _days_since(start, base):
+    return F.datediff(F.to_date(start), F.to_date(F.lag(start).over(base)))
 
 
 # ---- form tables ---------------------------------------------------------------------------------
@@ -142,18 +119,18 @@ def _keep(df: DataFrame, keys, prefix: str) -> DataFrame:
     return df.select(*keys, *[c for c in df.columns if c.startswith(prefix) and ("_r" in c or "_exp" in c or c.endswith(("prior_games", "days_rest")))])
 
 
-def batter_form(players: DataFrame, games: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def batter_form(players: DataFrame, games: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per (athlete, game): seven rates per plate appearance and the appearances, from earlier games."""
     b = _plate_rates(_appearances(players, games, "batting"))
     f = lagged_form(b.select("event_id", "athlete_id", "team", "start_ts", *BATTER_COLS), "athlete_id", "start_ts", "event_id",
-                    BATTER_COLS, BATTER_WINDOWS, "bat_", "bat_prior_games", "bat_days_rest", hot_rows)
+                    BATTER_COLS, BATTER_WINDOWS, "bat_", "bat_prior_games", "bat_days_rest", chunk_rows)
     return _keep(f, ["event_id", "athlete_id", "team"], "bat_")
 
 
-def pitcher_form(players: DataFrame, games: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def pitcher_form(players: DataFrame, games: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     p = _outing_rates(_appearances(players, games, "pitching"))
     f = lagged_form(p.select("event_id", "athlete_id", "team", "start_ts", *PITCHER_COLS), "athlete_id", "start_ts", "event_id",
-                    PITCHER_COLS, PITCHER_WINDOWS, "pit_", "pit_prior_games", "pit_days_rest", hot_rows)
+                    PITCHER_COLS, PITCHER_WINDOWS, "pit_", "pit_prior_games", "pit_days_rest", chunk_rows)
     return _keep(f, ["event_id", "athlete_id", "team"], "pit_")
 
 
@@ -166,17 +143,17 @@ def team_games(players: DataFrame, games: DataFrame) -> DataFrame:
         F.when(pa > 0, F.try_divide(F.coalesce(c, F.lit(0.0)), pa)).alias(f"tm_{c}_ppa") for c in BATTING])
 
 
-def team_form(players: DataFrame, games: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    f = lagged_form(team_games(players, games), "team", "start_ts", "event_id", TEAM_COLS, TEAM_WINDOWS, "", hot_rows=hot_rows)
+def team_form(players: DataFrame, games: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    f = lagged_form(team_games(players, games), "team", "start_ts", "event_id", TEAM_COLS, TEAM_WINDOWS, "", chunk_rows=chunk_rows)
     return f.select("team", "event_id", "start_ts", *[c for c in f.columns if c.startswith("tm_") and c not in TEAM_COLS])
 
 
-def park_form(games: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def park_form(games: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     g = games.select("event_id", "venue", "start_ts", (F.col("home_score") + F.col("away_score")).alias("total_runs"))
-    return lagged_form(g, "venue", "start_ts", "event_id", ["total_runs"], PARK_WINDOWS, "park_", hot_rows=hot_rows).drop("total_runs")
+    return lagged_form(g, "venue", "start_ts", "event_id", ["total_runs"], PARK_WINDOWS, "park_", chunk_rows=chunk_rows).drop("total_runs")
 
 
-def game_context(games: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def game_context(games: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Each game from both sides, with the team's earlier scoring, conceding and winning."""
     sides = F.array(
         F.struct(F.col("home_team").alias("team"), F.col("away_team").alias("opp"), F.lit(1).alias("is_home"),
@@ -186,7 +163,7 @@ def game_context(games: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame
     )
     d = games.select("event_id", "start_ts", F.inline(sides))
     d = d.withColumn("won", F.when(F.col("runs_for") > F.col("runs_against"), 1.0).otherwise(0.0))
-    f = lagged_form(d, "team", "start_ts", "event_id", ["runs_for", "runs_against", "won"], CONTEXT_WINDOWS, "tg_", hot_rows=hot_rows)
+    f = lagged_form(d, "team", "start_ts", "event_id", ["runs_for", "runs_against", "won"], CONTEXT_WINDOWS, "tg_", chunk_rows=chunk_rows)
     return f.drop("runs_for", "runs_against", "won")
 
 
@@ -231,8 +208,6 @@ def pending_pitchers(players: DataFrame, games: DataFrame, as_of: str) -> DataFr
 
 def latest_per_entity(form: DataFrame, entity: str, order: list[str]) -> DataFrame:
     """Most recent row per entity."""
-    from quotelab.operators.keys import first_per_key
-
     return first_per_key(form, [entity], [F.col(c).desc() for c in order])
 
 

@@ -162,17 +162,22 @@ def _final(d: DataFrame, logit_cons: str, out: str) -> DataFrame:
     return d.withColumn(out, P.expit(lc + F.col("shrink") * (P.logit(F.col("__cal")) - lc)))
 
 
-def training_rows(props: DataFrame, by: str, min_rows: int, tie: str, label: str = "won", logit_cons: str = "logit_cons", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """Rows with label and anchor of the markets that have enough of them, the most recent ones up to the window cap."""
+def training_rows(props: DataFrame, by: str, min_rows: int, label: str = "won", logit_cons: str = "logit_cons") -> DataFrame:
+    """Rows with label and anchor of the markets that have enough of them."""
     d = props.filter(F.col(label).isNotNull() & F.col(logit_cons).isNotNull())
     big = d.groupBy(by).agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows).select(by)
-    return most_recent(d.join(big, by, "left_semi"), [by], max_rows, tie)
+    return d.join(big, by, "left_semi")
 
 
 def fit_market_model(props: DataFrame, features: list[str], tie: str, by: str = "market", label: str = "won", logit_cons: str = "logit_cons", k: int = OOF_FOLDS, booster: str = "linear", config: dict | None = None, min_rows: int = MIN_ROWS, max_rows: int = MAX_TRAIN_ROWS) -> MarketModel:
-    """Fits every market: out-of-fold scores by date, isotonic on them, shrinkage on that, and a fit on all rows."""
+    """Fits every market: out-of-fold scores by date, isotonic on them, shrinkage on that, and a fit over all folds.
+
+    ``max_rows`` bounds what the booster is fitted on, the most recent rows of each market. Scores, isotonic curves,
+    shrinkage and the report cover all rows, each scored by the fit that left its fold out.
+    """
     c = config or CONFIGS["default"]
-    train = materialise(date_fold(training_rows(props, by, min_rows, tie, label, logit_cons, max_rows), k), "model-train")
+    rows = materialise(date_fold(training_rows(props, by, min_rows, label, logit_cons), k), "model-rows")
+    train = materialise(most_recent(rows, [by], max_rows, tie), "model-train")
     feats = list(dict.fromkeys([*features, logit_cons]))
     if booster == "linear":
         b = fit_blocks(train, feats, label, by, k, l2=1e-4 * c["l2"])
@@ -180,7 +185,7 @@ def fit_market_model(props: DataFrame, features: list[str], tie: str, by: str =
         b = fit_boosted(train, feats, label, by, k, c)
     else:
         raise ValueError(f"unknown booster {booster!r}")
-    raw = materialise(b.score(train, "__raw", F.col("oof_fold")), "model-oof")
+    raw = materialise(b.score(rows, "__raw", F.col("oof_fold")), "model-oof")
     iso = materialise(fit_isotonic(raw, [by], "__raw", label), "model-isotonic")
     cal = _calibrated(raw, iso, by).withColumn("__lm", P.logit(F.col("__cal")))
     shrink = materialise(best_shrink(shrink_grid(cal, [by], label, logit_cons, "__lm"), [by]), "model-shrink")

@@ -39,11 +39,12 @@ def finish(quotes: DataFrame, key=QUOTE_KEY, books: Books = BOOKS, tie: list[str
     """Valid quotes before the start, one per takeable price.
 
     The same book can arrive through several regions: the first region in the fixed order wins, then the
-    highest price.
+    highest price, then ``tie``, the latest snapshot and the remaining columns in the order of their names.
     """
     rank = F.array_position(F.array(*[F.lit(r) for r in REGION_ORDER]), F.col("region"))
     d = quotes.withColumns({"price": number(F.col("price")), "line": number(F.col("line"))})
     d = d.filter((F.abs(F.col("price")) >= 100) & (F.col("lead_min") > 0))
     d = d.withColumn("tier", books.tier(F.col("book")).cast("byte"))
-    order = [F.when(rank > 0, rank).otherwise(len(REGION_ORDER) + 1), F.col("price").desc(), F.col("region")]
-    return first_per_key(d, key, order + [F.col(c) for c in tie])
+    order = [F.when(rank > 0, rank).otherwise(len(REGION_ORDER) + 1), F.col("price").desc(), F.col("region"), *[F.col(c) for c in tie]]
+    rest = sorted(set(d.columns) - {*key, "price", "region", *tie})
+    return first_per_key(d, key, order + [F.col(c).desc() if c == "snapshot_ts" else F.col(c) for c in sorted(rest, key=lambda c: c != "snapshot_ts")])

@@ -9,62 +9,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows: at most rows/limit of them, from a count that reads only the keys."""
-    return df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit).select(*keys)
+from quotelab.session import materialise
 
 
 def ordered_rank(
     df: DataFrame,
     groups: list[str],
     value: Column,
-    tie: Column,
-    bin: Column,
-    n_sub: int = 64,
+    tie: list[str],
     rank: str = "rank",
     total: str = "group_rows",
 ) -> DataFrame:
-    """Row number (from 1) within ``groups`` by (value, tie mod n_sub, tie), and the size of the group.
+    """Row number (from 1) within ``groups`` by (value, tie), and the size of the group.
 
-    ``bin`` is any non-decreasing function of ``value``; rows are numbered inside a bin and the bin offsets are
-    summed from counts. A bin that holds one single value is split further by ``tie``, so that a third of all
-    rows on one value still spreads over ``n_sub`` tasks. ``tie`` must be an integer column that is unique.
+    The rows are dealt by ranges of (groups, value, tie), so that a group, or one value in it, that holds a third of
+    all rows still spreads over many tasks. Rows are numbered inside a range; the ranges' counts, at most one per group
+    and range, give the offsets. The ranges are stored, because both parts must see the same ones. ``tie`` makes the
+    order total; columns of any type that sorts will do.
     """
-    d = df.withColumns({"__v": value, "__t": tie, "__bin": bin}).withColumn("__sub", F.pmod(F.col("__t"), F.lit(n_sub)))
-    cell_key = [*groups, "__bin", "__sub"]
-    cells = d.groupBy(*cell_key).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    per_bin = Window.partitionBy(*groups, "__bin")
-    in_bin = per_bin.orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(
-        *cell_key,
-        "__n",
-        (F.min("__lo").over(per_bin) == F.max("__hi").over(per_bin)).alias("__tied"),
-        F.sum("__n").over(per_bin).alias("__bin_n"),
-        F.coalesce(F.sum("__n").over(in_bin), F.lit(0)).alias("__sub_off"),
-        F.row_number().over(per_bin.orderBy("__sub")).alias("__first"),
-    )
-    per_group = Window.partitionBy(*groups)
-    before = per_group.orderBy("__bin").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    order = [F.col("__v"), *[F.col(c) for c in tie]]
+    d = df.withColumn("__v", value).repartitionByRange(*[F.col(c) for c in groups], *order)
+    d = materialise(d.withColumn("__range", F.spark_partition_id()), "ranges")
+    cells = d.groupBy(*groups, "__range").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(
-        *[F.col(c).alias(f"__c{i}") for i, c in enumerate(cell_key)],
-        F.when(F.col("__tied"), F.col("__sub")).otherwise(-1).alias("__chunk"),
-        (
-            F.sum(F.when(F.col("__first") == 1, F.col("__bin_n")).otherwise(0)).over(before)
-            - F.col("__bin_n")
-            + F.when(F.col("__tied"), F.col("__sub_off")).otherwise(0)
-        ).alias("__off"),
-        F.sum("__n").over(per_group).alias(total),
-    )
-    cond = F.lit(True)
-    for i, c in enumerate(cell_key):
-        cond = cond & d[c].eqNullSafe(F.col(f"__c{i}"))
-    in_chunk = Window.partitionBy(*groups, "__bin", "__chunk").orderBy("__v", "__sub", "__t")
-    return (
-        d.join(cells, cond)
-        .withColumn(rank, F.col("__off") + F.row_number().over(in_chunk))
-        .select(*df.columns, rank, total)
+        *[F.col(c).alias(f"__g{i}") for i, c in enumerate(groups)],
+        F.col("__range").alias("__r"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+        F.sum("__n").over(Window.partitionBy(*groups)).alias(total),
     )
+    inside = Window.partitionBy(*groups, "__range").orderBy(*order)
+    cond = F.col("__range") == F.col("__r")
+    for i, c in enumerate(groups):
+        cond = cond & d[c].eqNullSafe(F.col(f"__g{i}"))
+    return d.withColumn("__in", F.row_number().over(inside)).join(cells, cond).select(
+        *df.columns, (F.col("__off") + F.col("__in")).alias(rank), total)
 
 
 def running_totals(df: DataFrame, groups: list[str], value: str, bin: Column, sums: list[str]) -> DataFrame:

@@ -1,7 +1,9 @@
 """Session settings and the shared scratch folder."""
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -9,7 +11,9 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+    """A local session for tests and the bench, with a scratch folder that goes with the process; a cluster brings its own."""
+    scratch = tempfile.mkdtemp(prefix="spark-quotelab-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("quotelab")
@@ -18,6 +22,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", f"file://{scratch}")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -48,10 +53,13 @@ def materialise(df, purpose: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df) -> None:
     """Delete the files of a table from ``materialise`` that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        remove_path(df.sparkSession, folder)

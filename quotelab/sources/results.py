@@ -88,17 +88,18 @@ def player_rows(summaries: DataFrame) -> DataFrame:
     d = d.select("event_id", F.col("team.abbreviation").alias("team"), F.inline("statistics"))
     grp = F.when(F.array_contains("keys", "atBats"), "batting").when(F.array_contains("keys", INNINGS), "pitching")
     d = d.withColumn("grp", grp).filter(F.col("grp").isNotNull()).select("event_id", "team", "grp", "keys", F.inline("athletes")).filter(F.size("stats") > 0)
-    n = F.least(F.size("keys"), F.size("stats"))
-    kv = F.map_from_arrays(F.slice("keys", F.lit(1), n), F.slice("stats", F.lit(1), n))
+    kv = F.arrays_zip("keys", "stats")  # the shorter one is filled with nulls
     d = d.select("event_id", "team", "grp", F.col("athlete.id").alias("athlete_id"), F.col("athlete.displayName").alias("name"), "starter", kv.alias("kv"))
-    num = lambda k: F.coalesce(F.try_element_at("kv", F.lit(k)).try_cast("double"), F.lit(0.0))
+    # The last entry under a key; a file may repeat a key or leave one empty.
+    last = lambda k: F.try_element_at(F.filter("kv", lambda x: (x["keys"] == k) & x["stats"].isNotNull()), F.lit(-1))["stats"]
+    num = lambda k: F.coalesce(last(k).try_cast("double"), F.lit(0.0))
     bat, pit = F.col("grp") == "batting", F.col("grp") == "pitching"
     cols: dict[str, Column] = {}
     for name, key in BATTING_KEYS.items():
         cols[name] = F.when(bat, num(key))
     for name, key in PITCHING_KEYS.items():
         cols[name] = F.when(pit, num(key)).otherwise(cols[name]) if name in cols else F.when(pit, num(key))
-    cols["outs"] = F.when(pit, outs_pitched(F.try_element_at("kv", F.lit(INNINGS))))
+    cols["outs"] = F.when(pit, outs_pitched(last(INNINGS)))
     cols["played"] = F.when(pit | (num("atBats") > 0) | (num("walks") > 0), 1.0).otherwise(0.0)
     d = d.select("event_id", "team", "grp", "athlete_id", "name", "starter", *[v.alias(k) for k, v in cols.items()])
     h = hits_by_batter(summaries)

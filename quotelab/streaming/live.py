@@ -7,6 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quotelab.operators.keys import first_per_key
 from quotelab.operators.movement import CHECKPOINTS, HISTORY_MIN
+from quotelab.session import discard, materialise, remove_path
+from quotelab.sources.tables import read_fitted
 
 LATENESS = "12 hours"
 
@@ -84,17 +86,35 @@ def score_batches(quotes: DataFrame, score, upsert, checkpoint: str, once: bool
     return _run(quotes.writeStream.foreachBatch(sweep), checkpoint, once, every)
 
 
-def keep_last(rows: DataFrame, path: str, key: list[str], version: str, checkpoint: str, partition: str, once: bool = False, every: str = "15 minutes") -> StreamingQuery:
-    """Merges finished games into the history, the last version of a key kept; only touched partitions are rewritten."""
-    from quotelab.sources.tables import read_fitted
+def keep_last(rows: DataFrame, path: str, key: list[str], version: str, checkpoint: str, partition: str, tie: tuple[str, ...] = (), once: bool = False, every: str = "15 minutes") -> StreamingQuery:
+    """Merges finished games into the history, the last version of a key kept; only touched partitions are rewritten.
+
+    Touched are the partitions of the batch and those that hold an older version of one of its keys, so a record that
+    moves to another partition leaves none behind. Of equal versions the one greatest in ``tie`` stays, then in the other
+    columns by name.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
-        old = read_fitted(batch.sparkSession, path, None)
-        merged = batch
-        if old is not None:
-            touched = batch.select(partition).distinct()
-            merged = old.select(*batch.columns).join(touched, partition, "left_semi").unionByName(batch)
-        merged = first_per_key(merged, key, [F.col(version).desc()])
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        keep_last_batch(batch, path, key, version, partition, tie)
 
     return _run(rows.writeStream.foreachBatch(merge), checkpoint, once, every)
+
+
+def keep_last_batch(batch: DataFrame, path: str, key: list[str], version: str, partition: str, tie: tuple[str, ...] = ()) -> None:
+    """One batch of ``keep_last``. A partition that loses its last record loses its folder."""
+    order = [version, *tie, *sorted(set(batch.columns) - {*key, version, *tie})]
+    best = lambda d: first_per_key(d, key, [F.col(c).desc() for c in order])
+    old = read_fitted(batch.sparkSession, path, None)
+    if old is None:
+        best(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        return
+    old = old.select(*batch.columns)
+    moved = old.join(batch.select(*key).distinct(), key, "left_semi").select(partition)
+    touched = materialise(batch.select(partition).union(moved).distinct(), "touched")
+    merged = materialise(best(old.join(touched, partition, "left_semi").unionByName(batch)), "merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    emptied = touched.join(merged.select(partition).distinct(), partition, "left_anti").collect()  # partitions of one batch
+    for row in emptied:
+        remove_path(batch.sparkSession, f"{path}/{partition}={'__HIVE_DEFAULT_PARTITION__' if row[0] is None else row[0]}")
+    discard(merged)
+    discard(touched)

@@ -20,9 +20,9 @@ def rows(spark):
 
 
 def test_rank(spark, rows):
-    w = Window.partitionBy("g").orderBy("v", F.pmod("id", F.lit(8)), "id")
+    w = Window.partitionBy("g").orderBy("v", "id")
     want = rows.select("id", F.row_number().over(w).alias("w"), F.count("*").over(Window.partitionBy("g")).alias("n"))
-    got = ordered_rank(rows, ["g"], F.col("v"), F.col("id"), F.floor("v"), 8)
+    got = ordered_rank(rows, ["g"], F.col("v"), ["id"])
     assert got.join(want, "id").filter("rank <> w OR group_rows <> n").count() == 0 and got.count() == 3000
 
 
@@ -43,8 +43,8 @@ def test_running_totals(rows):
 
 def test_form_of_hot_entity(rows):
     args = ("g", "ts", "id", ["x", "v"], (10, 30), "f_", "prior", "rest")
-    plain = FM.lagged_form(rows, *args, hot_rows=None)
-    cut = FM.lagged_form(rows, *args, hot_rows=300)
+    plain = FM.lagged_form(rows, *args)
+    cut = FM.lagged_form(rows, *args, chunk_rows=40)
     cols = [c for c in plain.columns if c.startswith("f_")] + ["prior", "rest"]
     j = plain.alias("a").join(cut.alias("b"), "id")
     bad = F.lit(False)

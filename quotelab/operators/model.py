@@ -104,6 +104,23 @@ def fit_blocks(train: DataFrame, features: list[str], label: str, by: str = "mar
     return BlockModel(Pipeline(stages=[*stages, lr]).fit(d), stats, by, features)
 
 
+def block_gradients(model: BlockModel, train: DataFrame, label: str, l2: float, k: int = OOF_FOLDS) -> DataFrame:
+    """(block, n, worst): the largest gradient of the penalised loss in a block's coefficients, per row of the block.
+
+    Near zero for every block, it proves that the joint fit has found each block's own minimum.
+    """
+    inputs, stages = _inputs(model.features), model.fitted.stages
+    names, weights = stages[0].labels, stages[-1].coefficients.toArray()
+    held = train.sparkSession.createDataFrame(
+        [(b, weights[i * len(inputs):(i + 1) * len(inputs)].tolist()) for i, b in enumerate(names)], "block string, w array<double>")
+    d = training_copies(standardised(train, model.stats, model.by, model.features), model.by, k)
+    d = model.fitted.transform(d).withColumn("__r", vector_to_array("probability")[1] - F.col(label).cast("double"))
+    total = d.count()  # the loss is a mean over all blocks' rows, the penalty is not
+    g = d.groupBy("block").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("__r") * F.col(c)) for c in inputs]).alias("g")).join(held, "block")
+    gap = F.zip_with("g", "w", lambda a, w: F.abs(a + total * l2 * w))
+    return g.select("block", "n", (F.array_max(gap) / F.col("n")).alias("worst"))
+
+
 @dataclass
 class BoostedBlocks:
     """Gradient-boosted trees per market and fold, for users who want the trees and accept one fit per block."""

@@ -318,7 +318,7 @@ SELECT 'fold_boundary' AS check_name, 'ok' AS severity, '0 training rows from th
 UNION ALL SELECT 'fold_boundary', 'veto', concat(CAST(n AS VARCHAR), ' training rows from the first test date on'), n FROM c"""
 
 
-def audit_asof(spark, sf):
+def audit_asof(spark, sf, whole=False):
     """As-of audit of an honest rolling mean and of one whose window includes the current row, as one bundle."""
     from pyspark.sql.window import Window
 
@@ -327,10 +327,16 @@ def audit_asof(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
     leaky = e.withColumn("bat_leaky_r10", F.when(F.count("value").over(w) >= 2, F.avg("value").over(w)))
     order = [F.pmod(F.col("event_id") * 48271, F.lit(1000003)), F.col("event_id")]
-    found = [A.feature_asof(d, e, "user_id", "ts", "event_id", "value", f, 10, order) for d, f in ((good, "bat_value_r10"), (leaky, "bat_leaky_r10"))]
+    how = {} if whole else {"order": order, "n_sample": 300}
+    found = [A.feature_asof(d, e, "user_id", "ts", "event_id", "value", f, 10, **how) for d, f in ((good, "bat_value_r10"), (leaky, "bat_leaky_r10"))]
     return A.audit(*found)
 
 
+def audit_asof_all(spark, sf):
+    """The same audit over every row."""
+    return audit_asof(spark, sf, whole=True)
+
+
 def _asof_sql(i, feature, frame):
     return f"""s{i} AS (SELECT user_id, ts, event_id, f AS got FROM (SELECT *, CASE WHEN count(value) OVER w >= 2 THEN avg(value) OVER w END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {frame}))
    WHERE f IS NOT NULL ORDER BY (event_id * 48271) % 1000003, event_id LIMIT 300),
@@ -347,6 +353,15 @@ f AS (SELECT check_name, CASE WHEN checked > 0 AND future >= greatest(5, 0.02 *
 SELECT *, max(CASE WHEN severity = 'veto' THEN 1 ELSE 0 END) OVER () = 1 AS vetoed FROM f"""
 
 
+ASOF_ALL_SQL = """WITH w AS (SELECT *, count(value) OVER p AS np, avg(value) OVER p AS ap, count(value) OVER c AS nc, avg(value) OVER c AS ac FROM events
+  WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), c AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+k AS (SELECT CASE WHEN np >= 2 THEN ap END AS prior, CASE WHEN nc >= 2 THEN ac END AS incl FROM w),
+g AS (SELECT 'asof::bat_value_r10' AS check_name, prior, incl, prior AS got FROM k UNION ALL SELECT 'asof::bat_leaky_r10', prior, incl, incl FROM k),
+u AS (SELECT check_name, count(*) AS checked, count(*) FILTER (WHERE abs(prior - got) > 1e-6 + 1e-4 * abs(got)) AS bad,
+  count(*) FILTER (WHERE abs(prior - got) > 1e-6 + 1e-4 * abs(got) AND abs(incl - got) <= 1e-6 + 1e-4 * abs(got)) AS future FROM g WHERE prior IS NOT NULL AND got IS NOT NULL GROUP BY 1),
+f AS (""" + ASOF_SQL.split("f AS (", 1)[1]
+
+
 def bh_family(spark, sf):
     """False-discovery correction over the books as a family of tests."""
     p = E.bootstrap(_bets(spark, sf).filter("ev >= 0.02"), ["book"], 8000)
@@ -416,13 +431,13 @@ QUERIES = {
     "anchor_weights": anchor_weights, "consensus_schemes": consensus_schemes, "scheme_weights": scheme_weights, "shrink_grid": shrink_grid, "walk_folds": walk_folds, "fold_slices": fold_slices,
     "threshold_grid": threshold_grid, "threshold_defaults": threshold_defaults, "segment_filter": segment_filter, "one_bet": one_bet, "bet_summary": bet_summary, "fold_stability": fold_stability, "calibration_bins": calibration_bins,
     "cal_error": cal_error, "recent_decay": recent_decay, "latest_rows": latest_rows, "breakdowns": breakdowns, "cluster_bootstrap": cluster_bootstrap, "boot_pvalue": boot_pvalue,
-    "stratified_auc": stratified_auc, "conditional_signal": conditional_signal, "audit_timing": audit_timing, "audit_fold": audit_fold, "audit_asof": audit_asof, "bh_family": bh_family,
+    "stratified_auc": stratified_auc, "conditional_signal": conditional_signal, "audit_timing": audit_timing, "audit_fold": audit_fold, "audit_asof": audit_asof, "audit_asof_all": audit_asof_all, "bh_family": bh_family,
     "gate_verdicts": gate_verdicts, "feature_profile": feature_profile,
 }
 ORACLES = {
     "anchor_weights": ANCHOR_SQL, "consensus_schemes": SCHEMES_SQL, "scheme_weights": SCHEME_WEIGHTS_SQL, "shrink_grid": SHRINK_SQL, "walk_folds": FOLDS_SQL, "fold_slices": SLICES_SQL,
     "threshold_grid": GRID_SQL, "threshold_defaults": DEFAULTS_SQL, "segment_filter": SEGMENT_SQL, "one_bet": ONE_BET_SQL, "bet_summary": SUMMARY_SQL, "fold_stability": STABILITY_SQL, "calibration_bins": BINS_SQL,
     "cal_error": CAL_SQL, "recent_decay": RECENT_SQL, "latest_rows": LATEST_ROWS_SQL, "breakdowns": BREAKDOWN_SQL, "cluster_bootstrap": BOOT_SQL, "boot_pvalue": PVALUE_SQL,
-    "stratified_auc": AUC_SQL, "conditional_signal": SIGNAL_SQL, "audit_timing": TIMING_SQL, "audit_fold": AUDIT_FOLD_SQL, "audit_asof": ASOF_SQL, "bh_family": BH_SQL,
+    "stratified_auc": AUC_SQL, "conditional_signal": SIGNAL_SQL, "audit_timing": TIMING_SQL, "audit_fold": AUDIT_FOLD_SQL, "audit_asof": ASOF_SQL, "audit_asof_all": ASOF_ALL_SQL, "bh_family": BH_SQL,
     "gate_verdicts": GATE_SQL, "feature_profile": PROFILE_SQL,
 }

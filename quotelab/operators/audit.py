@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotelab.operators.evaluate import stratified_auc
-from quotelab.operators.form import min_observations
+from quotelab.operators.form import lagged_form, min_observations
 
 # ---- fixed values: sample size, tolerances, bounds, families that are rolled up from past games -----
 SAMPLE = 300
@@ -47,13 +47,21 @@ def fold_boundary(train: DataFrame, test: DataFrame, date: str = "game_date") ->
         F.col("bleed").alias("n"))
 
 
-def feature_asof(features: DataFrame, source: DataFrame, entity: str, start: str, tie: str, value: str, feature: str, window: int, order: list[Column], n_sample: int = SAMPLE) -> DataFrame:
-    """Recomputes a rolling feature for a sample of rows from strictly earlier rows.
+def feature_asof(features: DataFrame, source: DataFrame, entity: str, start: str, tie: str, value: str, feature: str, window: int, order: list[Column] = (), n_sample: int | None = None) -> DataFrame:
+    """Recomputes a rolling feature from strictly earlier rows, for all rows or for the first ``n_sample`` by ``order``.
 
-    A mismatch that a window with the current row in it explains means the feature saw its own outcome. The
-    sample is at most ``n_sample`` rows and is broadcast; the history is scanned once per window and each task
-    keeps only the last ``window`` rows per sampled row.
+    A mismatch that a window with the current row in it explains means the feature saw its own outcome. All rows go by
+    ordered chunks of each entity. A sample, of ``SAMPLE`` rows at most, is broadcast; the history is scanned once per
+    window and each task keeps only the last ``window`` rows per sampled row.
     """
+    if n_sample is None:
+        keys, form = [entity, start, tie], lagged_form(source.select(entity, start, tie, value), entity, start, tie, [value], (window,), "__p_", current="__c_")
+        form = form.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.col(f"__p_{value}_r{window}").alias("prior"), F.col(f"__c_{value}_r{window}").alias("incl"))
+        given = features.filter(F.col(feature).isNotNull()).select(*keys, F.col(feature).alias("got"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)])
+        return _asof_finding(given.join(form, same).filter(F.col("prior").isNotNull()), feature)
+    if n_sample > SAMPLE:
+        raise ValueError(f"a sample has {SAMPLE} rows at most; None checks all")
     sample = features.filter(F.col(feature).isNotNull()).orderBy(*order).limit(n_sample)
     sample = sample.select(F.col(entity).alias("__e"), F.col(start).alias("__s"), F.col(tie).alias("__t"), F.col(feature).alias("got"))
     src = source.select(F.col(entity).alias("e"), F.col(start).alias("s"), F.col(tie).alias("t"), F.col(value).alias("v"))
@@ -67,6 +75,11 @@ def feature_asof(features: DataFrame, source: DataFrame, entity: str, start: str
 
     key = ["__e", "__s", "__t"]
     d = recompute(False, "prior").join(recompute(True, "incl"), key).withColumnRenamed("got_prior", "got").filter(F.col("prior").isNotNull())
+    return _asof_finding(d, feature)
+
+
+def _asof_finding(d: DataFrame, feature: str) -> DataFrame:
+    """The finding from (prior, incl, got) of the rows checked."""
     near = lambda a: F.abs(a - F.col("got")) <= ATOL + RTOL * F.abs("got")
     bad = ~near(F.col("prior"))
     g = d.agg(F.count("*").alias("checked"), F.count_if(bad).alias("bad"), F.count_if(bad & near(F.col("incl"))).alias("future"))

@@ -37,11 +37,13 @@ def lagged_form(
     prior: str | None = None,
     rest: str | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    current: str | None = None,
 ) -> DataFrame:
     """Adds lagged rolling and expanding means of ``cols`` per entity, ordered by (start, tie).
 
     A window of w covers the w rows before the current one and is null below max(2, w // 5) values; the
     expanding mean needs three. ``prior`` names a count of earlier rows, ``rest`` the days since the last one.
+    ``current`` is a prefix for the same windows with the current row in them, which only an audit wants.
     Every entity is cut into ordered chunks of ``chunk_rows``, each led by the tail of its predecessor, so a few entities
     with long histories spread over as many tasks as their rows fill; sums of whole chunks carry the expanding means.
     """
@@ -68,6 +70,8 @@ def lagged_form(
         n = F.col(f"__n_{c}") + F.count(mine(c)).over(before)
         s = F.col(f"__s_{c}") + F.coalesce(F.sum(mine(c)).over(before), F.lit(0))
         out[f"{prefix}{c}_exp"] = F.when(n >= 3, F.try_divide(s, n))
+    if current:
+        out |= _rolling(cols, windows, current, base, 1)
     if prior:
         out[prior] = F.col("__rank") - 1
     if rest:
@@ -75,11 +79,11 @@ def lagged_form(
     return d.select(*df.columns, *[v.alias(k) for k, v in out.items()], "halo").filter(~F.col("halo")).drop("halo")
 
 
-def _rolling(cols, windows, prefix, base):
+def _rolling(cols, windows, prefix, base, shift=0):
     out = {}
     for c in cols:
         for n in windows:
-            w = base.rowsBetween(-n, -1)
+            w = base.rowsBetween(shift - n, shift - 1)
             out[f"{prefix}{c}_r{n}"] = F.when(F.count(c).over(w) >= min_observations(n), F.avg(c).over(w))
     return out
 

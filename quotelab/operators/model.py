@@ -17,6 +17,7 @@ from quotelab.operators.calibrate import best_shrink, shrink_grid
 from quotelab.operators.evaluate import most_recent
 from quotelab.operators.folds import date_fold
 from quotelab.operators.isotonic import apply_isotonic, fit_isotonic
+from quotelab.operators.skew import ordered_rank
 from quotelab.session import materialise
 
 FULL = -1
@@ -213,16 +214,21 @@ def fit_market_model(props: DataFrame, features: list[str], tie: str, by: str =
     return MarketModel(b, iso, shrink, oof.drop("__raw", "__cal", "__lm"), report, by, feats)
 
 
-def importances(model: MarketModel, df: DataFrame, label: str, tie: str, n: int = 20_000, top: int = 10) -> DataFrame:
-    """(market, feature, loss_gain): rise in log loss when one feature is shuffled, over a bounded sample.
+def importances(model: MarketModel, df: DataFrame, label: str, tie: str, n: int | None = 20_000, top: int = 10) -> DataFrame:
+    """(market, feature, loss_gain): rise in log loss when one feature is shuffled, over ``n`` rows of a market or, with None, all.
 
-    A shuffled column is the column of the row that has the same number under another order of the sample.
+    A shuffled column is the column of the row that has the same number under another order of the rows.
     """
     by, mix = model.by, F.xxhash64
     order = Window.partitionBy(by).orderBy(mix(F.col(tie)), F.col(tie))
-    sample = df.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n)
-    other = Window.partitionBy(by).orderBy(mix(F.col(tie), F.lit(17)), F.col(tie))
-    sample = materialise(sample.select(by, label, tie, "__r", *[F.col(c).cast("double").alias(c) for c in model.features]).withColumn("__s", F.row_number().over(other)), "importance")
+    columns = [by, label, tie, "__r", *[F.col(c).cast("double").alias(c) for c in model.features]]
+    if n is None:
+        sample = ordered_rank(ordered_rank(df, [by], mix(F.col(tie)), [tie], "__r", "__n").select(*columns), [by], mix(F.col(tie), F.lit(17)), [tie], "__s", "__n").drop("__n")
+    else:
+        sample = df.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n)
+        other = Window.partitionBy(by).orderBy(mix(F.col(tie), F.lit(17)), F.col(tie))
+        sample = sample.select(*columns).withColumn("__s", F.row_number().over(other))
+    sample = materialise(sample, "importance")
     parts = [sample.withColumn("feature", F.lit(""))]
     for c in model.features:
         donor = sample.select(F.col(by).alias("__b"), F.col("__s").alias("__d"), F.col(c).alias("__v"))

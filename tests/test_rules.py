@@ -8,7 +8,9 @@ from quotelab.operators import consensus as C
 from quotelab.operators import evaluate as E
 from quotelab.operators import gate as G
 from quotelab.operators import match as M
+from quotelab.functions.names import person_key
 from quotelab.operators import settle as S
+from quotelab.sources import results as R
 from quotelab.operators.keys import PROPOSITION, null_safe_join
 
 
@@ -29,6 +31,31 @@ def test_name_cascade(spark, similarity):
                    "Gunnar Hendersen": (11, "fuzzy"), "Nobody Here": (None, "unmatched"), "Solo Player": (None, "no_game")}
 
 
+def test_names_lose_accents_beyond_latin_1(spark):
+    names = [("Nikola Jokić", "nikola jokic"), ("Antonín Dvořák Jr.", "antonin dvorak"), ("Ağa Şahin", "aga sahin"), ("Nguyễn Ổn", "nguyen on"), ("O\u0301scar", "oscar")]
+    got = spark.createDataFrame(names, "name string, want string").select(person_key(F.col("name")).alias("key"), "want").collect()
+    assert [r.key for r in got] == [r.want for r in got]
+
+
+def test_string_ids(spark):
+    bets = spark.range(3000).select(F.concat(F.lit("m"), (F.col("id") % 2).cast("string")).alias("market"), F.concat(F.lit("ev"), F.hex(F.col("id") % 700)).alias("event_id"), F.concat(F.lit("b"), "id").alias("bet_id"),
+                                    F.when(F.col("id") % 5 < 2, 1.1).otherwise(-1.0).alias("profit"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 90).cast("int")).alias("game_date"))
+    boot = {r.market: r for r in E.bootstrap(bets, ["market"], 300).collect()}
+    assert all(r.roi_lo < r.roi < r.roi_hi and r.n_clusters == 350 for r in boot.values())
+    last = E.most_recent(bets, ["market"], 100, "bet_id").collect()
+    by_market = {m: sorted(((r.game_date, r.bet_id) for r in bets.collect() if r.market == m))[-100:] for m in ("m0", "m1")}
+    assert sorted((r.market, r.game_date, r.bet_id) for r in last) == sorted((m, *x) for m, rows in by_market.items() for x in rows)
+
+
+def test_box_score_with_repeated_and_empty_keys(spark, tmp_path):
+    import json
+
+    line = {"team": {"abbreviation": "T"}, "statistics": [{"keys": ["atBats", "hits", None, "hits", "runs"], "athletes": [{"athlete": {"id": "7", "displayName": "A"}, "stats": ["4", "1", "9", "2"]}]}]}
+    (tmp_path / "one.json").write_text(json.dumps({"header": {"id": "g", "competitions": []}, "boxscore": {"players": [line]}, "plays": []}))
+    row = R.player_rows(R.read_summaries(spark, str(tmp_path))).first()
+    assert (row.at_bats, row.hits, row.runs) == (4.0, 2.0, 0.0)
+
+
 def test_close_keys_find_every_close_pair(spark):
     words = [f"{a}{b} {c}{d}son" for a in ("mar", "mark", "max") for b in ("o", "ello") for c in ("ander", "hend", "will") for d in ("s", "ers", "")]
     names = spark.createDataFrame([(1, w, i) for i, w in enumerate(words)], "scope_id int, key string, entity_id int")

@@ -11,11 +11,11 @@ from quotelab.sources import snapshots as SN
 START = "2024-06-01 18:00:00"
 
 
-def _line_docs(spark, sf):
+def _line_docs(spark, sf, main_totals=None):
     """One bookmaker with one market per lineitem row, as feed structs."""
     li = table(spark, sf, "lineitem")
     k = F.col("l_suppkey") % 4
-    key = F.when(k == 0, "h2h").when(k == 1, "alternate_totals").when(k == 2, "batter_hits").otherwise("spreads")
+    key = F.when(k == 0, "h2h").when((k == 1) & (F.lit(False) if main_totals is None else main_totals), "totals").when(k == 1, "alternate_totals").when(k == 2, "batter_hits").otherwise("spreads")
     point = F.when(k == 0, None).when(k == 3, (F.col("l_partkey") % 5 - 2.5).cast("string")).otherwise((F.col("l_partkey") % 3 + 0.5).cast("string"))
     away_point = F.when(k == 3, (2.5 - F.col("l_partkey") % 5).cast("string")).otherwise(point)
     first = F.when(k % 3 == 0, "Home").otherwise("Over")
@@ -46,7 +46,7 @@ def _out(q):
 def snapshot_json(spark, sf):
     """Player and alternate-line quotes from per-event snapshots, duplicates across regions removed."""
     path = _write(_line_docs(spark, sf).withColumnRenamed("event", "data"), scratch_dir(spark, "event-snapshots"))
-    return _out(SN.prop_quotes(spark, path, books=TEST_BOOKS)).unionByName(_out(SN.alternate_quotes(spark, path, books=TEST_BOOKS)))
+    return _out(SN.event_quotes(spark, path, books=TEST_BOOKS))
 
 
 _LINES = f"""l AS (SELECT CAST(l_orderkey AS VARCHAR) AS event_id, l_suppkey % 4 AS k, l_linenumber AS ln, l_partkey AS pk, concat('b', CAST(l_suppkey % 20 AS VARCHAR)) AS book, l_suppkey % 20 % 4 AS tier,
@@ -54,7 +54,7 @@ _LINES = f"""l AS (SELECT CAST(l_orderkey AS VARCHAR) AS event_id, l_suppkey % 4
 s AS (SELECT *, true AS fst, 100 + pk * 7 % 150 + 0.0e0 AS price FROM l UNION ALL SELECT *, false, 100 + pk * 11 % 150 + 0.0e0 FROM l),
 o AS (SELECT event_id, CASE k WHEN 0 THEN 'h2h' WHEN 1 THEN 'totals' WHEN 2 THEN 'batter_hits' ELSE 'spreads' END AS market, CASE k WHEN 2 THEN concat('P', CAST(pk AS VARCHAR)) ELSE 'game' END AS subject,
   CASE WHEN k % 3 = 0 THEN CASE WHEN fst THEN 'home' ELSE 'away' END ELSE CASE WHEN fst THEN 'over' ELSE 'under' END END AS side,
-  CASE k WHEN 0 THEN NULL WHEN 3 THEN pk % 5 - 2.5e0 ELSE pk % 3 + 0.5e0 END AS line, price, book, region, ro, lead_min, tier, k, ln, fst FROM s
+  CASE k WHEN 0 THEN NULL WHEN 3 THEN pk % 5 - 2.5e0 ELSE pk % 3 + 0.5e0 END AS line, price, book, region, ro, lead_min, tier, k, ln, fst, pk FROM s
   WHERE lead_min > 0 AND (k % 3 = 0 OR fst OR ln <> 7) AND (k <> 2 OR ln <> 6))"""
 _DEDUP = "row_number() OVER (PARTITION BY event_id, market, subject, side, line, book{0} ORDER BY CASE region WHEN 'us' THEN 1 WHEN 'eu' THEN 2 ELSE 4 END, price DESC) AS rn"
 SNAPSHOT_SQL = f"""WITH {_LINES}, d AS (SELECT *, {_DEDUP.format('')} FROM o WHERE k IN (1, 2))
@@ -62,7 +62,7 @@ SELECT event_id, market, subject, side, line, price, book, region, lead_min, 'de
 
 
 def _slates(spark, sf):
-    d = _line_docs(spark, sf)
+    d = _line_docs(spark, sf, main_totals=F.col("l_partkey") % 2 == 0)
     return _write(d.withColumn("data", F.array("event")).drop("event"), scratch_dir(spark, "slates"))
 
 
@@ -72,23 +72,23 @@ def featured_json(spark, sf):
     li = table(spark, sf, "lineitem").filter("l_orderkey % 3 <> 0")
     snap = F.lit(START).cast("timestamp") - F.make_interval(mins=(F.col("l_orderkey") % 800 - 5).cast("int"))
     wanted = li.select(F.col("l_orderkey").cast("string").alias("event_id"), snap.alias("snapshot_ts")).distinct()
-    return _out(SN.featured_quotes(spark, path, wanted, books=TEST_BOOKS).filter("market <> 'totals'"))
+    return _out(SN.featured_quotes(spark, path, wanted, books=TEST_BOOKS))
 
 
-FEATURED_SQL = f"""WITH {_LINES}, d AS (SELECT *, {_DEDUP.format('')} FROM o WHERE k IN (0, 3) AND CAST(event_id AS BIGINT) % 3 <> 0)
+FEATURED_SQL = f"""WITH {_LINES}, d AS (SELECT *, {_DEDUP.format('')} FROM o WHERE (k IN (0, 3) OR k = 1 AND pk % 2 = 0) AND CAST(event_id AS BIGINT) % 3 <> 0)
 SELECT event_id, market, subject, side, line, price, book, region, lead_min, 'decision' AS tag, CAST(tier AS BIGINT) AS tier FROM d WHERE rn = 1"""
 
 
 def history_json(spark, sf):
     """Price history of the last twelve hours, and the same slates read as a live payload."""
     path = _slates(spark, sf)
-    hist = _out(SN.featured_history(spark, path, books=TEST_BOOKS).filter("market <> 'totals'"))
-    live = SN.live_quotes(spark.read.schema(SN.LIVE_SLATE).option("recursiveFileLookup", "true").json(path))
+    hist = _out(SN.featured_history(spark, path, books=TEST_BOOKS))
+    live = SN.live_quotes(spark.read.schema(SN.LIVE_SLATE).json(path))
     live = live.filter("market = 'h2h'").groupBy("event_id", "market", "subject", "side", "line", "book", "region", "lead_min", "tag").agg(F.max("price").alias("price"))
     return hist.unionByName(live.withColumn("tier", F.lit(None).cast("bigint")))
 
 
-HISTORY_SQL = f"""WITH {_LINES}, d AS (SELECT *, {_DEDUP.format(', lead_min')} FROM o WHERE k IN (0, 3) AND lead_min <= 720)
+HISTORY_SQL = f"""WITH {_LINES}, d AS (SELECT *, {_DEDUP.format(', lead_min')} FROM o WHERE (k IN (0, 3) OR k = 1 AND pk % 2 = 0) AND lead_min <= 720)
 SELECT event_id, market, subject, side, line, price, book, region, lead_min, 'hist' AS tag, CAST(tier AS BIGINT) AS tier FROM d WHERE rn = 1
 UNION ALL SELECT event_id, market, subject, side, line, max(price), book, region, lead_min, 'live', NULL FROM o WHERE k = 0 GROUP BY event_id, market, subject, side, line, book, region, lead_min"""
 

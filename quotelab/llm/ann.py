@@ -59,7 +59,7 @@ def balanced_parts(graph: np.ndarray, x: np.ndarray, parts: int, rounds: int = 1
     for _ in range(parts - 1):
         seeds.append(int(rng.choice(n, p=far / far.sum())) if far.sum() > 0 else int(rng.integers(n)))
         far = np.minimum(far, ((x - x[seeds[-1]]) ** 2).sum(axis=1))
-    pull = -(((x[:, None] - x[seeds][None]) ** 2).sum(axis=2)) if n * parts * x.shape[1] < 1 << 27 else -np.array([((x - x[s]) ** 2).sum(axis=1) for s in seeds]).T
+    pull = 2 * x @ x[seeds].T - (x[seeds] ** 2).sum(axis=1)  # nearest first; a matrix of rows by parts and no more
     a, b = np.repeat(np.arange(n), graph.shape[1]), graph.ravel()
     part = None
     for round_ in range(rounds):

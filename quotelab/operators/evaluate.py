@@ -146,20 +146,21 @@ def bootstrap(bets: DataFrame, by: list[str], n_boot: int = 4000, cluster: str =
 def threshold_grid(bets: DataFrame, by: list[str], ev: str = "ev") -> DataFrame:
     """(by, t, n, roi, sd, n_games, score) for each cut of the grid that some bet clears.
 
-    Each bet is placed once, in the highest cut it clears; what lies at or above a cut is then a running sum over
-    at most 64 rows. A game counts at every cut up to the best of its bets.
+    Each bet is placed once, in the highest cut it clears; what lies at or above a cut is then a sum over at most 64 entries. A game counts at every cut up to the best of its bets.
     """
     i = F.floor(F.col(ev) / GRID_STEP)
     i = F.when((i + 1) * GRID_STEP <= F.col(ev), i + 1).when(i * GRID_STEP > F.col(ev), i - 1).otherwise(i)
     d = bets.withColumn("i", F.least(i, F.lit(GRID_SIZE - 1)).cast("int")).filter("i >= 0")
-    games = d.groupBy(*by, "event_id").agg(F.max("i").alias("i"), F.count("*").alias("n"), F.sum("profit").alias("s"))
-    top = games.groupBy(*by, "i").agg(F.count("*").alias("games"))
-    cut = d.groupBy(*by, "i").agg(F.count("*").alias("n"), F.sum("profit").alias("s"), F.sum(F.col("profit") * F.col("profit")).alias("ss"))
-    per_cut = cut.join(top, [*by, "i"], "full_outer").na.fill(0)
-    grid = per_cut.select(*by).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID_SIZE - 1))))
-    d = grid.join(per_cut, [*by, "i"], "left").na.fill(0)
-    above = Window.partitionBy(*by).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.select(*by, (F.col("i") * GRID_STEP).alias("t"), *[F.sum(c).over(above).alias(c) for c in ("n", "s", "ss", "games")]).filter("n > 0")
+    # One read of the bets: per game and cut, then per cut with the games that go no higher, at most 64 rows a group.
+    per_game = d.groupBy(*by, "event_id", "i").agg(F.count("*").alias("n"), F.sum("profit").alias("s"), F.sum(F.col("profit") * F.col("profit")).alias("ss"))
+    best = F.max("i").over(Window.partitionBy(*by, "event_id"))
+    per_cut = per_game.withColumn("top", best == F.col("i")).groupBy(*by, "i").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")], F.count_if("top").alias("games"))
+    cuts = per_cut.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "n", "s", "ss", "games"))).alias("cuts"))
+    above = lambda i, c, zero: F.aggregate(F.filter("cuts", lambda x: x["i"] >= i), zero, lambda acc, x: acc + x[c])
+    none = F.lit(0).cast("long")
+    d = cuts.select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.lit(GRID_SIZE - 1)), lambda i: F.struct(
+        (i * GRID_STEP).alias("t"), above(i, "n", none).alias("n"), above(i, "s", F.lit(0.0)).alias("s"), above(i, "ss", F.lit(0.0)).alias("ss"), above(i, "games", none).alias("games")))).alias("g"))
+    d = d.select(*by, "g.*").filter("n > 0")
     roi = F.col("s") / F.col("n")
     var = F.try_divide(F.col("ss") - F.col("s") * roi, F.col("n") - 1)
     sd = F.sqrt(F.greatest(var, F.lit(0.0)))

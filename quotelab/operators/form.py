@@ -117,6 +117,7 @@ def _outing_rates(p: DataFrame) -> DataFrame:
 BATTER_COLS = tuple(f"{c}_ppa" for c in BATTING) + ("pa",)
 PITCHER_COLS = PITCHING + ("k_per_out", "pitch_per_out", "is_start")
 TEAM_COLS = tuple(f"tm_{c}_ppa" for c in BATTING)
+SIDE_COLS = ("runs_for", "runs_against", "won")
 
 
 def _keep(df: DataFrame, keys, prefix: str) -> DataFrame:
@@ -152,13 +153,16 @@ def team_form(players: DataFrame, games: DataFrame, chunk_rows: int = CHUNK_ROWS
     return f.select("team", "event_id", "start_ts", *[c for c in f.columns if c.startswith("tm_") and c not in TEAM_COLS])
 
 
+def park_totals(games: DataFrame) -> DataFrame:
+    return games.select("event_id", "venue", "start_ts", (F.col("home_score") + F.col("away_score")).alias("total_runs"))
+
+
 def park_form(games: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    g = games.select("event_id", "venue", "start_ts", (F.col("home_score") + F.col("away_score")).alias("total_runs"))
-    return lagged_form(g, "venue", "start_ts", "event_id", ["total_runs"], PARK_WINDOWS, "park_", chunk_rows=chunk_rows).drop("total_runs")
+    return lagged_form(park_totals(games), "venue", "start_ts", "event_id", ["total_runs"], PARK_WINDOWS, "park_", chunk_rows=chunk_rows).drop("total_runs")
 
 
-def game_context(games: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Each game from both sides, with the team's earlier scoring, conceding and winning."""
+def game_sides(games: DataFrame) -> DataFrame:
+    """Each game from both sides: runs scored and conceded, and whether it was won."""
     sides = F.array(
         F.struct(F.col("home_team").alias("team"), F.col("away_team").alias("opp"), F.lit(1).alias("is_home"),
                  F.col("home_score").alias("runs_for"), F.col("away_score").alias("runs_against")),
@@ -166,9 +170,13 @@ def game_context(games: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
                  F.col("away_score").alias("runs_for"), F.col("home_score").alias("runs_against")),
     )
     d = games.select("event_id", "start_ts", F.inline(sides))
-    d = d.withColumn("won", F.when(F.col("runs_for") > F.col("runs_against"), 1.0).otherwise(0.0))
-    f = lagged_form(d, "team", "start_ts", "event_id", ["runs_for", "runs_against", "won"], CONTEXT_WINDOWS, "tg_", chunk_rows=chunk_rows)
-    return f.drop("runs_for", "runs_against", "won")
+    return d.withColumn("won", F.when(F.col("runs_for") > F.col("runs_against"), 1.0).otherwise(0.0))
+
+
+def game_context(games: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Each game from both sides, with the team's earlier scoring, conceding and winning."""
+    f = lagged_form(game_sides(games), "team", "start_ts", "event_id", list(SIDE_COLS), CONTEXT_WINDOWS, "tg_", chunk_rows=chunk_rows)
+    return f.drop(*SIDE_COLS)
 
 
 def pending_form(

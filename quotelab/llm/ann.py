@@ -39,10 +39,10 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
     """Indices of the nearest ``degree`` other rows of each row of a sample."""
     norm, out = (x * x).sum(axis=1), []
-    for low in range(0, len(x), 512):
-        d = norm[None] - 2 * x[low:low + 512] @ x.T
+    for low in range(0, len(x), 64):
+        d = norm[None] - 2 * x[low:low + 64] @ x.T
         d[np.arange(len(d)), low + np.arange(len(d))] = np.inf
-        out.append(np.argpartition(d, degree - 1, axis=1)[:, :degree])
+        out.append(np.argpartition(d, degree - 1, axis=1)[:, :degree].copy())  # a view would keep all distances
     return np.vstack(out)
 
 

@@ -21,8 +21,9 @@ from quotelab.session import materialise
 
 #: Vectors that graph and classifier are fitted on, parts, neighbours in the graph.
 SAMPLE, PARTS, DEGREE = 8192, 64, 10
-#: Parts that a query is sent to. Vectors without any structure need this many for a recall of 0.9; clustered ones far fewer.
-PROBES = 42
+PART_SAMPLE = 64
+#: Parts of ``PARTS`` that a query is sent to, and in proportion of fewer. Vectors without any structure need this many for a recall of 0.9; clustered ones far fewer.
+PROBES = 48
 #: Vectors of one part that a task compares with queries at once.
 BLOCK = 1024
 
@@ -91,7 +92,7 @@ class Router:
     """Softmax over one hidden layer, fitted by mini-batches."""
 
     def __init__(self, x: np.ndarray, part: np.ndarray, parts: int, hidden: int = 96, epochs: int = 40, seed: int = 7):
-        rng = np.random.default_rng(seed)
+        rng, self.parts = np.random.default_rng(seed), parts
         self.mean, self.scale = x.mean(axis=0), x.std() or 1.0
         x = (x - self.mean) / self.scale
         self.w = [rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, (hidden, parts)), np.zeros(parts)]
@@ -127,15 +128,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fit_router(rows: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> Router | None:
-    """Fitted on about ``sample`` distinct vectors, drawn by a hash; at most that many reach the driver."""
+    """Fitted on about ``sample`` distinct vectors, drawn by a hash; at most twice as many reach the driver.
+
+    A part has ``PART_SAMPLE`` vectors of the sample at least, so small tables have fewer parts, the smallest none.
+    """
     total = rows.count()
     share = min(1.0, sample / max(total, 1))
     drawn = rows.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * sample).toArrow()
     x = np.unique(_matrix(drawn["v"].combine_chunks()), axis=0) if drawn.num_rows else np.empty((0, 0))
-    if len(x) <= 4 * parts:
+    parts = min(parts, len(x) // PART_SAMPLE)
+    if parts < 2:
         return None
-    part = balanced_parts(neighbour_graph(x, min(DEGREE, len(x) - 1)), x, parts)
-    return Router(x, part, parts)
+    return Router(x, balanced_parts(neighbour_graph(x, DEGREE), x, parts), parts)
 
 
 def _routed(router: Router | None, probes: int, extra: list[str]):
@@ -198,6 +202,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, probes: int = PROBES,
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMPLE, parts: int = PARTS, probes: int = PROBES,
                        id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Fit and search. ``is_query`` is a condition on ``vec_id``."""
+    """Fit and search. ``is_query`` is a condition on ``vec_id``; ``probes`` of ``parts`` are searched."""
     rows = usable(vectors, id_col, vector_col)
-    return search(rows, is_query, k, probes, fit_router(rows, sample, parts))
+    router = fit_router(rows, sample, parts)
+    return search(rows, is_query, k, -(-probes * router.parts // parts) if router else 1, router)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quotelab.llm import ann as A
@@ -16,8 +17,8 @@ def _brute(rows, k=10):
     return out
 
 
-def test_recall_and_exact_scores(spark):
-    sf = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_and_exact_scores(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     want, got = _brute(rows), {}
     for r in Q.op5_nearest_neighbours(spark, sf).orderBy("query_id", "rank").collect():

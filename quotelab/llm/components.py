@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from quotelab.session import discard, materialise
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
     """One round of star contraction over edges (u, v) with v < u: every vertex hands its neighbours to its least one.
 
-    The small star moves the neighbours below a vertex, the large star those above it; both keep the components.
+    The small star moves the neighbours below a vertex, the large star those above it; both keep the components. The second
+    result is the stored table of least neighbours, which can go once the first is stored.
     """
     if small:
         near = edges
@@ -21,7 +22,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         moved = near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.filter("u > v").distinct()
+    return moved.filter("u > v").distinct(), least
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -34,8 +35,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     digest = lambda d: d.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
     seen = digest(now)
     while True:
-        after = materialise(_star(_star(now, small=False), small=True), "edges")
-        discard(now)
+        large, first = _star(now, small=False)
+        large = materialise(large, "edges")
+        small, second = _star(large, small=True)
+        after = materialise(small, "edges")
+        for done in (now, large, first, second):
+            discard(done)
         now, before, seen = after, seen, digest(after)
         if seen == before:
             return now.select("u", F.col("v").alias("root"))

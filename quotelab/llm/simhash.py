@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quotelab.llm.components import connected_components
 from quotelab.llm.texts import keyed_text, tokens, whole_rows
-from quotelab.session import materialise
+from quotelab.session import discard, materialise
 
 RADIUS, QUARTERS, QUARTER_RADIUS = 4, 4, 1
 SHINGLE, SEED = 4, 42
@@ -193,7 +193,9 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     stored = rows.filter("home").select("quarter", "shard", "fp", spread("np", 1).alias("pb"), every("nq").alias("qb"), F.lit(True).alias("stored"))
     asked = rows.select("quarter", "shard", "fp", every("np").alias("pb"), spread("nq", 2).alias("qb"), F.lit(False).alias("stored"))
     met = stored.unionByName(asked).groupBy("quarter", "shard", "pb", "qb").applyInPandas(_meet, "a long, b long")
-    return met.distinct()
+    links = materialise(met.distinct(), "links")
+    discard(routed)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

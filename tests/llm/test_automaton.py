@@ -76,14 +76,12 @@ def test_license_base_equals_brute_force(spark, tmp_path):
             (4, "the GNU Lesser General Public License mit"), (5, L.TEMPLATES["apache-2.0"].upper()), (5, "mit\nLICENSE"),
             (6, "w " * 50000 + L.TEMPLATES["bsd-text"])]
     spark.createDataFrame([(a, b, None, None, None, "r", 1) for a, b in docs], DOC).write.parquet(f"{tmp_path}/documents.parquet")
-    key = lambda r: (r[0] is None, r[0], r[1:])
     got = Q.op8_license_scan(spark, str(tmp_path)).collect()
     assert sorted([tuple(r)[:6] for r in got], key=lambda r: (r[0] is None, r[0] or 0, r[1])) == sorted(
         brute.licenses(docs), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) or not r.base_labels for r in got)
     by = {r.doc_id: r for r in got}
     assert "bsd-text" in by[6].labels and by[6].score == 1.0 and by[2].score == 0.0 and by[2].labels == ""
-    del key
 
 
 def test_license_chain_bridges_an_edit():

@@ -1,5 +1,3 @@
-import hashlib
-
 from quotelab.llm import line_dedup as L
 from quotelab.llm import queries as Q
 from tests import compare
@@ -49,5 +47,4 @@ def test_sketch_and_exact_count_agree(spark):
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a\nb", f"s{k}", "x", 1) for k in range(6)], DOC)
     assert [r.text for r in L.without_boilerplate(df, 4).collect()] == ["a\nb"] * 6
-    empty = L.drop_boilerplate(df.limit(0))
-    assert empty.count() == 0 and hashlib.sha256(b"").hexdigest()
+    assert L.drop_boilerplate(df.limit(0)).count() == 0

@@ -1,6 +1,5 @@
 import importlib
 
-from quotelab.llm import language_id
 from tests.llm import brute
 from tests.llm.test_line_dedup import _brute as brute_lines
 
@@ -49,12 +48,11 @@ def test_stages_take_odd_rows(spark):
             (None, "alone " + base[::-1], "en", "a"), (3, None, "en", "a"), (4, "", "en", "a"), (5, "12 34", "de", "a"), (6, "word " * 60_000, "en", "a")]
     docs = spark.createDataFrame([(*r, 1, "r", 2, "z") for r in rows], DOC)
     for d in (docs, docs.limit(0)):
-        full = d
+        start = d
         for name, stage in pipeline.STAGES:
             d = stage(spark, d, SF)
             assert name == "packing" or d.columns == docs.columns
             d.collect()
-        assert full.isEmpty() == d.isEmpty()
+        assert start.isEmpty() == d.isEmpty()
     single = pipeline.drop_near_duplicates(spark, docs, SF).collect()
     assert sorted([(r.doc_id is None, r.doc_id or 0, (r.text or "")[:5]) for r in single]) == [(False, 1, "one t"), (False, 3, ""), (False, 5, "12 34"), (False, 6, "word "), (True, 0, "alone")]
-    assert language_id.UNKNOWN == "und"

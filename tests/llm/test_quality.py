@@ -41,7 +41,7 @@ def test_gradient_is_that_of_the_risk():
 
 def test_positives_part_from_unlabelled_noise():
     rng = np.random.default_rng(2)
-    good, bad = rng.normal(0, 1, (3000, _w := L._WIDTH)), rng.normal(2, 1, (1000, _w))
+    good, bad = rng.normal(0, 1, (3000, L._WIDTH)), rng.normal(2, 1, (1000, L._WIDTH))
     net = L.Network(good[:1000], np.vstack([good[1000:], bad]), 2 / 3)
     assert _auc(np.r_[net.scores(good), net.scores(bad)], np.r_[np.ones(3000), np.zeros(1000)]) > 0.97
 

@@ -65,6 +65,38 @@ def vocabulary_pieces(path: str) -> list[bytes]:
     return sorted({p.lower() for p in pieces if len(p) <= PIECE} | {bytes([c]) for c in range(256)})
 
 
+class Pieces:
+    """The vocabulary as a table of hashes, to look up all parts of many words at once."""
+
+    _BASE, _MIX, _BITS = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(64 - 18)
+
+    def __init__(self, pieces: dict[bytes, int]):
+        self.none = len(pieces)
+        self._up = np.cumprod(np.array([1] + [self._BASE] * PART, np.uint64), dtype=np.uint64)
+        self._down = np.cumprod(np.array([1] + [pow(self._BASE, -1, 2**64)] * PART, np.uint64), dtype=np.uint64)
+        hashes = np.array([sum((c + 1) * pow(self._BASE, i, 2**64) for i, c in enumerate(piece)) % 2**64 for piece in pieces], np.uint64)
+        buckets = (hashes * self._MIX) >> self._BITS
+        order = np.argsort(buckets, kind="stable")
+        self._hash, self._id = np.append(hashes[order], np.uint64(0)), np.append(np.fromiter(pieces.values(), np.int32)[order], self.none)
+        self._first = np.searchsorted(buckets[order], np.arange((1 << 18) + 1, dtype=np.uint64)).astype(np.int32)
+        self._most = int(np.diff(self._first).max(initial=0))
+
+    def ids(self, group: list[bytes], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The piece that each of the spans of each of the words (of one length) is, or ``none``."""
+        x = np.frombuffer(b"".join(group), np.uint8).reshape(len(group), -1).astype(np.uint64) + np.uint64(1)
+        sums = np.zeros((len(group), x.shape[1] + 1), np.uint64)
+        np.cumsum(x * self._up[:x.shape[1]], axis=1, dtype=np.uint64, out=sums[:, 1:])
+        h = (sums[:, ends] - sums[:, starts]) * self._down[starts]
+        bucket = (h * self._MIX) >> self._BITS
+        at, end = self._first[bucket], self._first[bucket + np.uint64(1)]
+        out = np.full(h.shape, self.none, np.int32)
+        for _ in range(self._most):
+            hit = (at < end) & (self._hash[at] == h)
+            out[hit] = self._id[at[hit]]
+            at = np.minimum(at + 1, end)
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -73,15 +105,17 @@ class Model:
     #: Piece x language; one more row of zeros, for what is no piece.
     p: np.ndarray
 
+    def __post_init__(self):
+        self.table = Pieces(self.pieces)
+
 
 class Lattice:
-    """The segmentations of words of one length: ``ids[:, i, l]`` is the piece of ``l + 1`` bytes that ends before byte ``i + 1``."""
+    """The segmentations of words of one length: ``ids[:, k]`` is the piece at the bytes ``spans[k]``."""
 
-    def __init__(self, group: list[bytes], pieces: dict[bytes, int]):
-        n, none, get = len(group[0]), len(pieces), pieces.get
-        spans = [(i - l, i) for i in range(1, n + 1) for l in range(1, min(i, PIECE) + 1)]
-        flat = np.fromiter((get(w[a:b], none) for w in group for a, b in spans), np.int32, len(group) * len(spans))
-        self.n, self.spans, self.ids = n, spans, flat.reshape(len(group), len(spans))
+    def __init__(self, group: list[bytes], table: Pieces):
+        self.n = n = len(group[0])
+        self.spans = [(i - l, i) for i in range(1, n + 1) for l in range(1, min(i, PIECE) + 1)]
+        self.ids = table.ids(group, *np.array(self.spans).T)
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """Sums over the segmentations of each prefix; ``p`` has one row of values for each word and span."""
@@ -112,7 +146,7 @@ def log_scores(items: list[bytes], model: Model) -> np.ndarray:
     """log P(word | language), word x language."""
     out = np.empty((len(items), len(model.languages)))
     for group in _by_length(items):
-        lattice = Lattice([items[i] for i in group], model.pieces)
+        lattice = Lattice([items[i] for i in group], model.table)
         out[group] = np.log(lattice.forward(model.p[lattice.ids])[-1])
     return out
 
@@ -135,7 +169,7 @@ def _expect(model: Model):
             items, n = b.column("word").to_pylist(), b.column("n").to_numpy()
             lang = np.array([at[x] for x in b.column("lang").to_pylist()], np.int64)
             for group in _by_length(items):
-                lattice = Lattice([items[i] for i in group], model.pieces)
+                lattice = Lattice([items[i] for i in group], model.table)
                 p = model.p[lattice.ids, lang[group][:, None]]
                 a, z = lattice.forward(p), lattice.backward(p)
                 weight = n[group] / a[-1]

@@ -29,6 +29,16 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.exp(got), want)
 
 
+def test_table_finds_exactly_the_pieces():
+    pieces = {p: k for k, p in enumerate(L.vocabulary_pieces(public_tokenizers.path("byte_bpe_50k.json")))}
+    table, rng = L.Pieces(pieces), random.Random(4)
+    for n in (1, 5, 12, 40):
+        words = [(b" " + rng.choice(list(pieces)) + bytes(rng.randrange(256) for _ in range(n)))[:n] for _ in range(200)]
+        spans = np.array([(a, b) for a in range(n) for b in range(a + 1, min(n, a + L.PIECE) + 1)])
+        got = table.ids(words, spans[:, 0], spans[:, 1])
+        assert got.tolist() == [[pieces.get(w[a:b], len(pieces)) for a, b in spans] for w in words]
+
+
 def test_words_keep_the_whole_text():
     assert L.words("Der Öl-Preis 3x".encode()) == [b" der", " Öl".encode(), b" preis", b" x"]
     assert b"".join(L.words(b"q" * 1000)) == b" " + b"q" * 1000

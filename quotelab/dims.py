@@ -38,8 +38,6 @@ SEASONS = {
     2025: ("2025-03-27", "2025-09-28"),
     2026: ("2026-03-26", "2026-09-27"),
 }
-DECISION_LEAD_MIN = 30
-CLOSING_LEAD_MIN = 2
 _EXCHANGE = {"novig", "prophetx", "betfair_ex_eu", "matchbook", "betopenly"}
 _SHARP = {"pinnacle", "lowvig", "betonlineag", "betus", "mybookieag"}
 _RETAIL = {"draftkings", "fanduel", "betmgm", "williamhill_us", "betrivers", "espnbet", "fanatics",

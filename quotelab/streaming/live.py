@@ -13,9 +13,12 @@ from quotelab.sources.tables import read_fitted
 LATENESS = "12 hours"
 
 
-def snapshot_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
-    """New JSON files of a directory, plain or compressed, under a fixed schema."""
-    r = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+def snapshot_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None, partitioned: bool = False) -> DataFrame:
+    """New JSON files of a directory, plain or compressed, under a fixed schema.
+
+    With ``partitioned``, ``name=value`` folders fill the columns of the schema that bear their names.
+    """
+    r = spark.readStream.schema(schema).option("recursiveFileLookup", str(not partitioned).lower())
     return (r.option("maxFilesPerTrigger", max_files) if max_files else r).json(path)
 
 
@@ -25,9 +28,12 @@ def before_start(quotes: DataFrame, snapshot: str, start: str, lateness: str = L
     return quotes.withColumn("lead_min", lead).filter((lead > 0) & (lead <= horizon)).withWatermark(snapshot, lateness)
 
 
-def deduplicated(quotes: DataFrame, key: list[str], snapshot: str, lateness: str = LATENESS) -> DataFrame:
-    """The same price seen in several sweeps, once; state is dropped when the watermark has passed."""
-    return quotes.withWatermark(snapshot, lateness).dropDuplicatesWithinWatermark(key)
+def deduplicated(quotes: DataFrame, key: list[str], snapshot: str, lateness: str | None = LATENESS) -> DataFrame:
+    """The same price seen in several sweeps, once; state is dropped when the watermark has passed.
+
+    Quotes that bring a watermark, as those of ``before_start`` do, take None for ``lateness``.
+    """
+    return (quotes.withWatermark(snapshot, lateness) if lateness else quotes).dropDuplicatesWithinWatermark(key)
 
 
 def start_buckets(events: DataFrame, start: str, minutes: int = 30, lateness: str = LATENESS) -> DataFrame:

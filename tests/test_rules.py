@@ -9,6 +9,7 @@ from quotelab.operators import evaluate as E
 from quotelab.operators import gate as G
 from quotelab.operators import match as M
 from quotelab.functions.names import person_key
+from quotelab.functions.times import date_range, format_iso, parse_iso
 from quotelab.operators import settle as S
 from quotelab.sources import results as R
 from quotelab.operators.keys import PROPOSITION, null_safe_join
@@ -146,3 +147,19 @@ def test_null_safe_join_keeps_null_keys(spark):
     b = a.drop("v").withColumn("w", F.lit(1))
     j = null_safe_join(a, b, PROPOSITION, "inner")
     assert j.count() == 2 and "Cartesian" not in j._jdf.queryExecution().toString() and "NestedLoop" not in j._jdf.queryExecution().toString()
+
+
+def test_verdict_names_the_failed_numbers(spark):
+    row = [("a", 500, 400, 0.05, 0.01, 0, None, 6, 0.7, 0.3, False, 0.01, 0.01, 100, 0.02, 0.01), ("b", 120, 90, 0.05, 0.01, 0, None, 6, 0.7, 0.3, False, 0.01, 0.01, 100, 0.02, 0.01)]
+    m = spark.createDataFrame(row, "market string, n_bets long, n_games long, roi double, roi_lo double, clv_n long, clv_mean double, n_folds long, fold_win_rate double, max_fold_share double, "
+                              "decayed boolean, cal_error double, cal_noise_floor double, recent_n long, recent_roi double, p_value double")
+    got = {r.market: (r.verdict, r.lever) for r in G.judge(m).collect()}
+    assert got == {"a": ("PASS", ""), "b": ("FAIL", "n_bets 120.0 (>= 300), n_games 90.0 (>= 150)")}
+
+
+def test_dates_and_iso_text(spark):
+    days = [str(r.date) for r in date_range(spark, "2024-02-27", "2024-03-01").collect()]
+    assert days == ["2024-02-27", "2024-02-28", "2024-02-29", "2024-03-01"]
+    texts = ["2024-06-01T18:00:00Z", "2024-06-01T18:00Z", "2024-06-01T20:00:00+02:00", "no date"]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(format_iso(parse_iso(F.col("t"))).alias("t")).collect()]
+    assert got == ["2024-06-01T18:00:00Z"] * 3 + [None]

@@ -28,7 +28,7 @@ from quotelab.session import discard, materialise
 TRAIN_ROWS = 4000
 ROUNDS = 3
 #: Bytes in a part of a word, in a piece; words kept in a worker's memory.
-PART, PIECE, HELD_WORDS = 40, 12, 250_000
+PART, PIECE, HELD_WORDS = 40, 12, 120_000
 UNKNOWN = "und"
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

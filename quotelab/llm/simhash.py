@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotelab.llm import near_copies
 from quotelab.llm.components import connected_components
 from quotelab.llm.texts import keyed_text, tokens, whole_rows
 from quotelab.session import discard, materialise
@@ -210,15 +211,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(component_of(prints, "doc_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: that with the least doc_id, of rows that share it one alone."""
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group: that with the least doc_id, of rows that share it one alone.
+
+    Groups are linked by pairs whose sets of ``shingle`` words have a Jaccard similarity of at least ``similarity``, all of
+    which are found; fingerprints within op3's radius would miss most edited copies.
+    """
     rows = keyed_text(docs, id_col, text_col).withColumn("rid", F.xxhash64("doc_id", "text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    packed = rows.select(F.struct("doc_id", "rid").alias("key"), "text")
-    prints = packed.mapInArrow(_fingerprints("key"), f"key struct<doc_id:{kind},rid:long>, fp long").select("key.doc_id", "key.rid", "fp")
-    prints = materialise(prints, "fingerprints")
+    prints = materialise(near_copies.shingle_prints(rows, shingle, similarity), "shingles")
+    links = near_copies.similar_links(rows, prints, shingle, similarity)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("kept")
-    kept = prints.groupBy("fp", "doc_id", "rid").agg(F.count("*").alias("n")).join(component_of(prints, "doc_id"), "fp")
+    kept = prints.groupBy("fp", "doc_id", "rid").agg(F.count("*").alias("n")).join(component_of(prints, "doc_id", links), "fp")
     # A group of rows without ids has no component id; its root names it.
     kept = kept.groupBy("root", "n").agg(least).groupBy("root").agg(F.min(F.struct("kept", "n")).alias("least"))
     kept = kept.select(F.col("least.kept.doc_id").alias("k_doc"), F.col("least.kept.rid").alias("k_rid"), F.col("least.n").alias("n"))
@@ -229,10 +233,14 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return whole.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def component_of(prints: DataFrame, id_col: str) -> DataFrame:
-    """(fp, component_id, root) for each distinct fingerprint of ``prints``; root is a fingerprint that names the group."""
+def component_of(prints: DataFrame, id_col: str, links: DataFrame | None = None) -> DataFrame:
+    """(fp, component_id, root) for each distinct fingerprint of ``prints``; root is a fingerprint that names the group.
+
+    ``links`` (a, b) between fingerprints are those within the radius unless given.
+    """
     points = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "points")
-    roots = connected_components(fingerprint_links(points).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    links = fingerprint_links(points) if links is None else links
+    roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = points.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "groups")
     ids = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")

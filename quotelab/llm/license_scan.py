@@ -75,6 +75,14 @@ class LicenseIndex:
         self.phrase = [0] * len(sam.link)
         for s in sam.by_length():
             self.phrase[s] = s if s in self.phrase_at else self.phrase[sam.link[s]]
+        #: The same for whole templates, with the names of those that end at a state.
+        self.whole_at: dict[int, list[str]] = {}
+        for name, words in sam.items:
+            if name is not None and words:
+                self.whole_at.setdefault(sam.states_of(words)[-1], []).append(name)
+        self.whole = [0] * len(sam.link)
+        for s in sam.by_length():
+            self.whole[s] = s if s in self.whole_at else self.whole[sam.link[s]]
 
     def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, str]], list[dict]]:
         """(words, places of base phrases with their labels, the best chain of each template that has one)."""
@@ -96,6 +104,12 @@ class LicenseIndex:
                 if len(p) <= n:
                     places.append((i + 1 - len(p), self.base[p]))
                 at = self.phrase[sam.link[at]]
+            at = self.whole[s]
+            while at:  # a template that stands in full, even where a longer one goes on
+                for name in self.whole_at[at]:
+                    if (size := self.templates[name]) <= n:
+                        anchors.setdefault(name, []).append((i + 1 - size, 0, size))
+                at = self.whole[sam.link[at]]
             if last and not (i == last[0] + 1 and n == last[2] + 1):
                 keep(*last)  # the match did not grow: it was as long as it can be
             last = (i, s, n)

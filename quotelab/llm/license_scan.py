@@ -7,6 +7,8 @@ place where they stand. Null or empty texts have no words, no matches and score
 """
 from __future__ import annotations
 
+from bisect import bisect
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -84,8 +86,8 @@ class LicenseIndex:
         for s in sam.by_length():
             self.whole[s] = s if s in self.whole_at else self.whole[sam.link[s]]
 
-    def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, str]], list[dict]]:
-        """(words, places of base phrases with their labels, the best chain of each template that has one)."""
+    def scan(self, text: bytes | None, min_coverage: float = 0.8) -> tuple[int, list[tuple[int, str]], list[dict]]:
+        """(words, places of base phrases with their labels, the best chain of each template that has one and further ones)."""
         words = terms(text)
         sam, low = self.sam, self.min_match
         places: list[tuple[int, str]] = []
@@ -115,14 +117,41 @@ class LicenseIndex:
             last = (i, s, n)
         if last:
             keep(*last)
-        return len(words), places, [c for name in sorted(anchors) if (c := self._chain(name, anchors[name]))]
-
-    def _chain(self, name: str, anchors: list[tuple[int, int, int]]) -> dict | None:
-        """The chain that covers most of the template; gaps in the text stay below the template's length."""
-        size = self.templates[name]
+        return len(words), places, [c for name in sorted(anchors) for c in self._chains(name, anchors[name], min_coverage)]
+
+    def _chains(self, name: str, anchors: list[tuple[int, int, int]], min_coverage: float) -> list[dict]:
+        """The chain that covers most of the template, then the best of what does not overlap, while it reaches the coverage."""
+        size, out, left = self.templates[name], [], sorted(set(anchors))
+        while left:
+            taken: list[tuple[int, int]] = []
+            for covered, first, end, last in sorted(self._chained(size, left), key=lambda c: (-c[0], c[1])):
+                if out and covered / size < min_coverage:
+                    break
+                at = bisect(taken, (first, end))
+                if (at and taken[at - 1][1] > first) or (at < len(taken) and taken[at][0] < end):
+                    at = bisect(taken, (last, end))
+                    if (at and taken[at - 1][1] > last) or (at < len(taken) and taken[at][0] < end):
+                        continue  # its last anchor is covered
+                    break  # without what is taken, its chain is another one
+                taken.insert(at, (first, end))
+                out.append({"template": name, "coverage": covered / size, "start": first, "end": end})
+            if not taken:
+                break
+            free = []
+            for a in left:
+                at = bisect(taken, (a[0], a[0] + a[2]))
+                if not (at and taken[at - 1][1] > a[0]) and not (at < len(taken) and taken[at][0] < a[0] + a[2]):
+                    free.append(a)
+            left = free
+        return out
+
+    @staticmethod
+    def _chained(size: int, anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """(covered, first word, end, first word of the last anchor) of the best chain that ends at each of the sorted
+        anchors; gaps in the text stay below the template's length."""
         best: list[tuple[int, int, int]] = []  # covered, first word, end in text
         open_: list[int] = []
-        for k, (at, in_template, n) in enumerate(sorted(anchors)):
+        for k, (at, in_template, n) in enumerate(anchors):
             got = (n, at, at + n, in_template + n)
             open_ = [j for j in open_ if at - best[j][2] <= size]
             for j in open_:
@@ -132,8 +161,7 @@ class LicenseIndex:
                     got = (covered + n - skip, first, at + n, in_template + n)
             best.append(got)
             open_.append(k)
-        covered, first, end, _ = max(best, key=lambda c: (c[0], -c[1]))
-        return {"template": name, "coverage": covered / size, "start": first, "end": end}
+        return [(c[0], c[1], c[2], a[0]) for c, a in zip(best, anchors, strict=True)]
 
 
 _held: dict[tuple, LicenseIndex] = {}
@@ -156,7 +184,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, templates
         for b in batches:
             n_words, places, spans, scores = [], [], [], []
             for text in b.column("text").to_pylist():
-                n, at, chains = index.scan(text)
+                n, at, chains = index.scan(text, min_coverage)
                 n_words.append(n)
                 places.append([{"start": i, "label": label} for i, label in at])
                 spans.append([c for c in chains if c["coverage"] >= min_coverage])

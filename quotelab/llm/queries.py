@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelab.llm import ann, decontaminate, language_id, license_scan, line_dedup, packing, pii, quality, simhash, substring_dedup
+from quotelab.llm import ann, decontaminate, fill_middle, language_id, license_scan, line_dedup, packing, pii, quality, simhash, substring_dedup, token_alignment
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_entities", "text")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.alignment(_table(spark, sf_dir, "documents"), *tokenizer_files(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -92,6 +102,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
+    "op11_fill_middle": op11_fill_middle,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
@@ -111,4 +123,35 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op11_fill_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                   sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+            FROM documents
+        ), k AS (
+            SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS c2,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                             OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                        WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM d
+        ), p AS (
+            SELECT *, substr(t, 1, least(c1, c2)) AS pre, substr(t, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS mid,
+                   substr(t, greatest(c1, c2) + 1) AS suf
+            FROM k
+        ), o AS (
+            SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                                ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS out
+            FROM p
+        ), r AS (
+            SELECT *, substr(out, 4, strpos(out, CASE form WHEN 'psm' THEN '<S>' ELSE '<P>' END) - 4) AS one,
+                   substr(out, strpos(out, CASE form WHEN 'psm' THEN '<S>' ELSE '<P>' END) + 3,
+                          strpos(out, '<M>') - strpos(out, CASE form WHEN 'psm' THEN '<S>' ELSE '<P>' END) - 3) AS two,
+                   substr(out, strpos(out, '<M>') + 3) AS last
+            FROM o
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars, sha256(out) AS output_sha256,
+               sha256(CASE form WHEN 'plain' THEN out WHEN 'psm' THEN one || last || two ELSE two || last || one END) AS restored_sha256
+        FROM r
+    """,
 }

@@ -1,10 +1,12 @@
 """The registered queries of these operators, and SQL for those that SQL can express."""
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelab.llm import ann, decontaminate, fill_middle, language_id, license_scan, line_dedup, packing, pii, quality, simhash, substring_dedup, token_alignment
+from quotelab.llm import ann, decontaminate, fill_middle, html_content, language_id, license_scan, line_dedup, packing, page_samples, pii, quality, simhash, substring_dedup, token_alignment
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +87,16 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(_table(spark, sf_dir, "documents"))
 
 
+@lru_cache(maxsize=1)
+def page_model() -> html_content.Model:
+    """The model of the extraction query, learned from the labelled pages that come with the library."""
+    return html_content.fit(*zip(*page_samples.labelled_pages(), strict=True))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.main_texts(_table(spark, sf_dir, "pages"), page_model()).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -103,6 +115,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
     "op11_fill_middle": op11_fill_middle,
+    "op12_html_extraction": op12_html_extraction,
     "op13_token_alignment": op13_token_alignment,
 }
 

@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Spark's own setting for deleting the shuffle files of a query when it ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench, with a scratch folder that goes with the process; a cluster brings its own."""
@@ -45,11 +48,17 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 def materialise(df, purpose: str):
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts a long lineage at a point that several jobs reuse, and survives the loss of executors.
+    Runs a job when called. Cuts a long lineage at a point that several jobs reuse, and survives the loss of executors.
+    The shuffle files of the job are deleted once the table is written, since nothing reads them again.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

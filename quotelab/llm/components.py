@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round is stored, so that lost executors cost one round. Loops and repeated edges do no harm.
     """
     now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
-    digest = lambda d: d.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
+    digest = lambda d: d.agg(F.count("*"), *[F.sum(F.xxhash64(*c).cast("decimal(38,0)")) for c in (("u", "v"), ("v", "u"))]).first()
     seen = digest(now)
     while True:
         large, first = _star(now, small=False)

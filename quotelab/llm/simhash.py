@@ -219,13 +219,14 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     which are found; fingerprints within op3's radius would miss most edited copies.
     """
     rows = keyed_text(docs, id_col, text_col).withColumn("rid", F.xxhash64("doc_id", "text"))
-    prints = materialise(near_copies.shingle_prints(rows, shingle, similarity), "shingles")
-    links = near_copies.similar_links(rows, prints, shingle, similarity)
+    prints, links = near_copies.similar_links(rows, shingle, similarity)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("kept")
     kept = prints.groupBy("fp", "doc_id", "rid").agg(F.count("*").alias("n")).join(component_of(prints, "doc_id", links), "fp")
     # A group of rows without ids has no component id; its root names it.
     kept = kept.groupBy("root", "n").agg(least).groupBy("root").agg(F.min(F.struct("kept", "n")).alias("least"))
-    kept = kept.select(F.col("least.kept.doc_id").alias("k_doc"), F.col("least.kept.rid").alias("k_rid"), F.col("least.n").alias("n"))
+    kept = materialise(kept.select(F.col("least.kept.doc_id").alias("k_doc"), F.col("least.kept.rid").alias("k_rid"), F.col("least.n").alias("n")), "kept")
+    discard(prints)
+    discard(links)
     found = whole_rows(docs, text_col).drop("text").withColumn("doc_id", F.col("row").getField(id_col))
     found = found.withColumn("rid", F.xxhash64("doc_id", F.col("row").getField(text_col).cast("binary")))
     found = found.join(kept, (F.col("rid") == F.col("k_rid")) & F.col("doc_id").eqNullSafe(F.col("k_doc")))

@@ -41,13 +41,18 @@ def _lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*parts, np.empty(0, kind)]).astype(kind)))
 
 
+def _texts(b: pa.RecordBatch):
+    """The texts of a batch, one in memory at a time."""
+    return (t.as_py() for t in b.column("text"))
+
+
 def _anchor_rows(window: int):
     size = window - PERIOD + 1
 
     def run(batches):
         for b in batches:
             n_words, whole, anchors = [], [], []
-            for text in b.column("text").to_pylist():
+            for text in _texts(b):
                 words = tokens(text)
                 at = cover_positions(len(words) - size + 1 if len(words) >= window else 0)
                 anchors.append(run_hashes(word_hashes(words), at, size) if len(at) else at)
@@ -63,19 +68,20 @@ def _anchor_rows(window: int):
 def _packed_rows(batches):
     for b in batches:
         pack = zstandard.ZstdCompressor(level=3).compress
-        packed = pa.array([pack(t or b"") for t in b.column("text").to_pylist()], pa.binary())
+        packed = pa.array([pack(t or b"") for t in _texts(b)], pa.binary())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), packed], names=["doc_id", "rid", "packed"])
 
 
-def _unpacked(column: pa.Array) -> list[bytes]:
+def _unpacked(column: pa.Array):
     unpack = zstandard.ZstdDecompressor().decompress
-    return [unpack(t) for t in column.to_pylist()]
+    return (unpack(t.as_py()) for t in column)
 
 
 def candidate_starts(n_words: int, shared: np.ndarray, window: int) -> np.ndarray:
-    """Starts of the windows that hold an anchor out of ``shared``, indices of cover positions."""
+    """Starts of the windows that hold an anchor out of ``shared``, indices of cover positions; others, of a row with the same hash, are passed over."""
     inside = np.zeros(n_words - window + 2, np.int64)
-    at = cover_positions(n_words - window + PERIOD)[shared]
+    at = cover_positions(n_words - window + PERIOD)
+    at = at[shared[shared < len(at)]]
     np.add.at(inside, np.maximum(at - PERIOD + 1, 0), 1)
     np.add.at(inside, np.minimum(at, n_words - window) + 1, -1)
     return np.flatnonzero(np.cumsum(inside)[:-1])
@@ -120,12 +126,14 @@ def _kept_rows(window: int):
 
 def _digest_rows(batches):
     for b in batches:
-        words = [tokens(t) for t in b.column("text").to_pylist()]
+        n_words, digests = [], []
+        for text in _texts(b):
+            words = tokens(text)
+            n_words.append(len(words))
+            digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            del words  # before the next text's are made
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("rid"), pa.array([len(w) for w in words], pa.int64()),
-             pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])],
-            names=["doc_id", "rid", "n_words", "sha256"],
-        )
+            [b.column("doc_id"), b.column("rid"), pa.array(n_words, pa.int64()), pa.array(digests)], names=["doc_id", "rid", "n_words", "sha256"])
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

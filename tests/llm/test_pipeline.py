@@ -2,6 +2,7 @@ import importlib
 
 from tests.llm import brute
 from tests.llm.test_line_dedup import _brute as brute_lines
+from tests.llm.test_near_copies import _kept as brute_copies
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, row string, n long, rid string"
@@ -25,8 +26,8 @@ def test_stages_equal_brute_force(spark):
 
     single = stages["near_duplicates"](spark, lines, SF)
     left = {r.doc_id: r.text for r in single.collect()}
-    groups = brute.groups([(d, brute.fingerprint(t)) for d, t in texts.items()])
-    assert single.columns == columns and left == {d: texts[d] for d, _, g in groups if d == g}
+    alone, _ = brute_copies(texts.items())
+    assert single.columns == columns and left == {d: texts[d] for d in alone} and len(left) < len(texts)
 
     clean = stages["decontamination"](spark, single, SF)
     after = {r.doc_id: r.text for r in clean.collect()}

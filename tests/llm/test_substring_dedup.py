@@ -22,6 +22,7 @@ def test_cover_meets_every_shift():
         assert any((a + shift) % S.PERIOD in S.COVER for a in S.COVER)
     assert list(S.cover_positions(20)) == [0, 1, 3, 8, 12, 18]
     assert list(S.candidate_starts(60, np.array([0]), 50)) == [0]
+    assert list(S.candidate_starts(60, np.array([0, 10**6]), 50)) == [0]  # of a longer row with the same hash
 
 
 def test_equals_brute_force(spark, tmp_path):

@@ -5,7 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ from quotelab.operators.evaluate import most_recent
 from quotelab.operators.folds import date_fold
 from quotelab.operators.isotonic import apply_isotonic, fit_isotonic
 from quotelab.operators.skew import ordered_rank
-from quotelab.session import materialise
+from quotelab.session import discard, materialise
 
 FULL = -1
 # ---- fixed values: row bounds, folds, tuned configurations ------------------------------------------
@@ -85,28 +85,36 @@ class BlockModel:
 
 
 def fit_blocks(train: DataFrame, features: list[str], label: str, by: str = "market", k: int = OOF_FOLDS, l2: float = 1e-4, max_iter: int = 30, increasing: str | None = None) -> BlockModel:
-    """``train`` holds ``oof_fold``. ``increasing`` names a feature whose effect may not be negative."""
+    """``train`` holds ``oof_fold``. ``increasing`` names a feature whose effect may not be negative.
+
+    Rows weigh as much as makes every block count the same, so a block's coefficients minimise its own mean loss plus
+    ``l2`` / 2 times their squares, however many other blocks are fitted beside it. Stores the training copies while it runs.
+    """
     stats = materialise(feature_stats(train, by, features), "feature-stats")
-    d = training_copies(standardised(train, stats, by, features), by, k)
     inputs = _inputs(features)
+    d = training_copies(standardised(train, stats, by, features), by, k).select("block", label, *inputs)
+    d = materialise(d, "block-rows")
+    sizes = {r["block"]: r["count"] for r in d.groupBy("block").count().collect()}  # markets times folds
+    total = sum(sizes.values())
+    weight = d.groupBy("block").agg((F.lit(total / max(len(sizes), 1)) / F.count("*")).alias("__w"))
     stages = [
-        StringIndexer(inputCol="block", outputCol="__idx", stringOrderType="alphabetAsc"),
+        StringIndexerModel.from_labels(sorted(sizes), inputCol="block", outputCol="__idx"),
         OneHotEncoder(inputCol="__idx", outputCol="__hot", dropLast=False),
         VectorAssembler(inputCols=inputs, outputCol="__x"),
         Interaction(inputCols=["__hot", "__x"], outputCol="features"),
     ]
-    lr = LogisticRegression(labelCol=label, featuresCol="features", fitIntercept=False, standardization=False, regParam=l2, maxIter=max_iter)
-    d = d.select("block", label, *inputs)
+    lr = LogisticRegression(labelCol=label, featuresCol="features", weightCol="__w", fitIntercept=False, standardization=False, regParam=l2 / max(len(sizes), 1), maxIter=max_iter)
     if increasing:
-        n_blocks = d.select("block").distinct().count()
         free = [-1e6] * len(inputs)  # finite: infinity times the zero spread of an empty column is undefined
         free[inputs.index(f"__z_{increasing}")] = 0.0
-        lr = lr.setLowerBoundsOnCoefficients(DenseMatrix(1, len(inputs) * n_blocks, free * n_blocks))
-    return BlockModel(Pipeline(stages=[*stages, lr]).fit(d), stats, by, features)
+        lr = lr.setLowerBoundsOnCoefficients(DenseMatrix(1, len(inputs) * len(sizes), free * len(sizes)))
+    fitted = Pipeline(stages=[*stages, lr]).fit(d.join(weight, "block"))
+    discard(d)
+    return BlockModel(fitted, stats, by, features)
 
 
 def block_gradients(model: BlockModel, train: DataFrame, label: str, l2: float, k: int = OOF_FOLDS) -> DataFrame:
-    """(block, n, worst): the largest gradient of the penalised loss in a block's coefficients, per row of the block.
+    """(block, n, worst): the largest gradient of a block's mean loss and penalty in its coefficients.
 
     Near zero for every block, it proves that the joint fit has found each block's own minimum.
     """
@@ -116,10 +124,8 @@ def block_gradients(model: BlockModel, train: DataFrame, label: str, l2: float,
         [(b, weights[i * len(inputs):(i + 1) * len(inputs)].tolist()) for i, b in enumerate(names)], "block string, w array<double>")
     d = training_copies(standardised(train, model.stats, model.by, model.features), model.by, k)
     d = model.fitted.transform(d).withColumn("__r", vector_to_array("probability")[1] - F.col(label).cast("double"))
-    total = d.count()  # the loss is a mean over all blocks' rows, the penalty is not
-    g = d.groupBy("block").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("__r") * F.col(c)) for c in inputs]).alias("g")).join(held, "block")
-    gap = F.zip_with("g", "w", lambda a, w: F.abs(a + total * l2 * w))
-    return g.select("block", "n", (F.array_max(gap) / F.col("n")).alias("worst"))
+    g = d.groupBy("block").agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("__r") * F.col(c)) for c in inputs]).alias("g")).join(held, "block")
+    return g.select("block", "n", F.array_max(F.zip_with("g", "w", lambda a, w: F.abs(a + l2 * w))).alias("worst"))
 
 
 @dataclass

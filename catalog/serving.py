@@ -87,7 +87,7 @@ def ledger_upsert(spark, sf):
     path = scratch_dir(spark, "ledger")
     for sweep in (0, 1, 1, 2):
         LG.upsert_picks(p.filter(F.col("bet_id") % 3 == sweep), path)
-    d = spark.read.parquet(path)
+    d = LG.read_picks(spark, path)
     return d.select("bet_id", F.col("game_date").cast("string").alias("game_date"), "market", "subject", "line", "side", "book", r6("ev", "ev"))
 
 

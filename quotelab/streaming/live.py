@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quotelab.operators.keys import first_per_key
 from quotelab.operators.movement import CHECKPOINTS, HISTORY_MIN
+from quotelab.plans.ledger import upsert_picks
 from quotelab.session import discard, materialise, remove_path
 from quotelab.sources.tables import read_fitted
 
@@ -92,6 +93,21 @@ def score_batches(quotes: DataFrame, score, upsert, checkpoint: str, once: bool
     return _run(quotes.writeStream.foreachBatch(sweep), checkpoint, once, every)
 
 
+def serve_sweeps(quotes: DataFrame, serve, path: str, checkpoint: str, writer: str = "serve", once: bool = False, every: str = "15 minutes", before_publish=None) -> StreamingQuery:
+    """Runs ``serve`` (quotes of one sweep -> picks) on every sweep and merges its picks into the ledger at ``path``.
+
+    The ledger notes the sweeps it holds, in the step that makes them current. So a sweep whose job dies is repeated by the
+    restarted query, and one whose ledger was published before the query noted it is not applied again. What ``serve``
+    reads besides the quotes is read anew in every sweep.
+    """
+
+    def sweep(batch: DataFrame, batch_id: int) -> None:
+        picks = serve(batch).withColumn("generated_at", F.lit(batch_id))
+        upsert_picks(picks, path, writer=writer, batch=batch_id, before_publish=before_publish)
+
+    return _run(quotes.writeStream.foreachBatch(sweep), checkpoint, once, every)
+
+
 def keep_last(rows: DataFrame, path: str, key: list[str], version: str, checkpoint: str, partition: str, tie: tuple[str, ...] = (), once: bool = False, every: str = "15 minutes") -> StreamingQuery:
     """Merges finished games into the history, the last version of a key kept; only touched partitions are rewritten.
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from quotelab.dims import BOOKS, Books
 from quotelab.functions import pricing as P
-from quotelab.operators.keys import first_per_key
+from quotelab.operators.keys import first_per_key, null_safe_join
 from quotelab.operators.skew import equal_width_bin, ordered_rank, quantiles, running_totals
 from quotelab.session import materialise
 
@@ -206,9 +206,8 @@ def recent(bets: DataFrame, by: list[str], share: float = RECENT_SHARE, z: float
 
     Decay is called only where the recent mean lies below zero by more than ``z`` standard errors.
     """
-    d = ordered_rank(bets, by, F.to_date("game_date"), [tie])
-    k = F.greatest(F.floor(F.col("group_rows") * share), F.lit(1))
-    g = d.filter(F.col("rank") > F.col("group_rows") - k).groupBy(*by).agg(
+    d = _latest(bets, by, lambda rows: F.greatest(F.floor(rows * share), F.lit(1)), tie, "game_date")
+    g = d.groupBy(*by).agg(
         F.count("*").alias("recent_n"), F.avg("profit").alias("recent_roi"), F.stddev_samp("profit").alias("sd"))
     low = F.col("recent_roi") + z * F.col("sd") / F.sqrt("recent_n") < 0
     return g.select(*by, "recent_n", "recent_roi", (F.coalesce(low, F.lit(False)) & (F.col("recent_n") >= MIN_RECENT)).alias("decayed"))
@@ -216,8 +215,22 @@ def recent(bets: DataFrame, by: list[str], share: float = RECENT_SHARE, z: float
 
 def most_recent(df: DataFrame, by: list[str], n: int, tie: str, date: str = "game_date") -> DataFrame:
     """The ``n`` most recent rows of each group by (date, tie)."""
-    d = ordered_rank(df, by, F.to_date(date), [tie])
-    return d.filter(F.col("rank") > F.col("group_rows") - n).drop("rank", "group_rows")
+    return _latest(df, by, lambda rows: F.lit(n).cast("long"), tie, date)
+
+
+def _latest(df: DataFrame, by: list[str], wanted, tie: str, date: str) -> DataFrame:
+    """The last ``wanted(rows of the group)`` rows of each group by (date, tie); rows without a date come first.
+
+    Counts per day tell which days stay whole and how many rows the day at the cut keeps; only rows of that day are ranked.
+    """
+    day = F.coalesce(F.to_date(date), F.lit("0001-01-01").cast("date"))
+    days = df.groupBy(*by, day.alias("__day")).agg(F.count("*").alias("__n"))  # groups times days
+    group = Window.partitionBy(*by)
+    later = F.sum("__n").over(group.orderBy(F.col("__day").desc())) - F.col("__n")
+    days = days.select(*by, "__day", "__n", (wanted(F.sum("__n").over(group)) - later).alias("__left")).filter("__left > 0")
+    d = null_safe_join(df.withColumn("__day", day), days, [*by, "__day"], "inner", nullable=by)
+    cut = d.filter("__left < __n").withColumn("__rank", F.row_number().over(Window.partitionBy(*by, "__day").orderBy(F.col(tie).desc())))
+    return d.filter("__left >= __n").select(*df.columns).unionByName(cut.filter("__rank <= __left").select(*df.columns))
 
 
 def breakdowns(bets: DataFrame, min_book_bets: int = 10) -> DataFrame:

@@ -71,13 +71,15 @@ class BlockModel:
     iteration instead of one per market and fold, and a hot market spreads over all tasks.
     """
 
-    fitted: object
+    fitted: object | None
     stats: DataFrame
     by: str
     features: list[str]
 
     def score(self, df: DataFrame, out: str, fold: Column | None = None) -> DataFrame:
-        """Adds the raw probability of the full fit, or of the fit that left a row's fold out."""
+        """Adds the raw probability of the full fit, or of the fit that left a row's fold out; no row without any fit."""
+        if self.fitted is None:
+            return df.filter(F.lit(False)).withColumn(out, F.lit(None).cast("double"))
         d = standardised(df, self.stats, self.by, self.features)
         d = d.withColumn("block", block(self.by, fold if fold is not None else F.lit(FULL)))
         d = self.fitted.transform(d)
@@ -89,21 +91,24 @@ def fit_blocks(train: DataFrame, features: list[str], label: str, by: str = "mar
 
     Rows weigh as much as makes every block count the same, so a block's coefficients minimise its own mean loss plus
     ``l2`` / 2 times their squares, however many other blocks are fitted beside it. Stores the training copies while it runs.
+    Without rows nothing is fitted.
     """
     stats = materialise(feature_stats(train, by, features), "feature-stats")
     inputs = _inputs(features)
     d = training_copies(standardised(train, stats, by, features), by, k).select("block", label, *inputs)
     d = materialise(d, "block-rows")
     sizes = {r["block"]: r["count"] for r in d.groupBy("block").count().collect()}  # markets times folds
+    if not sizes:
+        return BlockModel(None, stats, by, features)
     total = sum(sizes.values())
-    weight = d.groupBy("block").agg((F.lit(total / max(len(sizes), 1)) / F.count("*")).alias("__w"))
+    weight = d.groupBy("block").agg((F.lit(total / len(sizes)) / F.count("*")).alias("__w"))
     stages = [
         StringIndexerModel.from_labels(sorted(sizes), inputCol="block", outputCol="__idx"),
         OneHotEncoder(inputCol="__idx", outputCol="__hot", dropLast=False),
         VectorAssembler(inputCols=inputs, outputCol="__x"),
         Interaction(inputCols=["__hot", "__x"], outputCol="features"),
     ]
-    lr = LogisticRegression(labelCol=label, featuresCol="features", weightCol="__w", fitIntercept=False, standardization=False, regParam=l2 / max(len(sizes), 1), maxIter=max_iter)
+    lr = LogisticRegression(labelCol=label, featuresCol="features", weightCol="__w", fitIntercept=False, standardization=False, regParam=l2 / len(sizes), maxIter=max_iter)
     if increasing:
         free = [-1e6] * len(inputs)  # finite: infinity times the zero spread of an empty column is undefined
         free[inputs.index(f"__z_{increasing}")] = 0.0

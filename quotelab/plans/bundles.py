@@ -37,6 +37,8 @@ class _Writer:
             for k, block in enumerate(names):
                 model.models[block].write().save(f"{self.at}/{name}-trees-{k}")
             return {**about, "kind": "trees", "blocks": names}
+        if model.fitted is None:
+            return {**about, "kind": "nothing"}
         model.fitted.write().save(f"{self.at}/{name}-pipeline")
         return {**about, "kind": "pipeline"}
 
@@ -82,7 +84,7 @@ def load_bundle(spark: SparkSession, path: str, number: int | None = None) -> Bu
         stats = table(f"{name}-stats")
         if b["kind"] == "trees":
             return BoostedBlocks({k: GBTClassificationModel.load(f"{at}/{name}-trees-{i}") for i, k in enumerate(b["blocks"])}, b["by"], b["features"], stats)
-        return BlockModel(PipelineModel.load(f"{at}/{name}-pipeline"), stats, b["by"], b["features"])
+        return BlockModel(None if b["kind"] == "nothing" else PipelineModel.load(f"{at}/{name}-pipeline"), stats, b["by"], b["features"])
 
     model = MarketModel(blocks("booster"), table("calibration"), table("shrink"), None, table("report"), about["model_by"], about["features"])
     selection = SelectionCalibrator(table("curves"), blocks("conditional"), about["rich"], about["selection_by"], Books(**{k: tuple(v) if isinstance(v, list) else v for k, v in about["books"].items()}))

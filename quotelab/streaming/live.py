@@ -10,6 +10,7 @@ from quotelab.operators.movement import CHECKPOINTS, HISTORY_MIN
 from quotelab.plans.ledger import upsert_picks
 from quotelab.session import discard, materialise, remove_path
 from quotelab.sources.tables import read_fitted
+from quotelab.sources.versions import VersionedTable
 
 LATENESS = "12 hours"
 
@@ -67,18 +68,31 @@ def to_table(df: DataFrame, path: str, checkpoint: str, once: bool = False, ever
     return _run(df.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, once, every)
 
 
-def updates_to_table(df: DataFrame, path: str, checkpoint: str, once: bool = False, every: str = "15 minutes") -> StreamingQuery:
-    """Writes changed state per micro-batch under its batch number, so that a repeated batch replaces itself."""
+def updates_to_table(df: DataFrame, path: str, checkpoint: str, key: list[str], once: bool = False, every: str = "15 minutes", compact_after: int = 8) -> StreamingQuery:
+    """Adds the changed state of each micro-batch as a folder of its own, and merges all folders once there are ``compact_after``.
+
+    A batch that is repeated is not added twice. Of merged and replaced folders those of one version before the current stay,
+    for readers that have just opened it.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        table = VersionedTable(spark, path, "batch_id")
+        base = table.current()
+        if base.applied.get("state", -1) >= batch_id:
+            return
+        after = table.replace(batch.withColumn("batch_id", F.lit(batch_id)), base, [str(batch_id)], "state", batch_id)
+        if len(after.folders) >= compact_after:
+            merged = first_per_key(table.read(after), key, [F.col("batch_id").desc()]).withColumn("batch_id", F.lit(batch_id))
+            table.replace(merged, after, None, "state", batch_id)
+            table.vacuum()
 
     return _run(df.writeStream.outputMode("update").foreachBatch(write), checkpoint, once, every)
 
 
 def current(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
     """Latest state per key from a table written by ``updates_to_table``."""
-    return first_per_key(spark.read.parquet(path), key, [F.col("batch_id").desc()]).drop("batch_id")
+    return first_per_key(VersionedTable(spark, path).read(), key, [F.col("batch_id").desc()]).drop("batch_id")
 
 
 def score_batches(quotes: DataFrame, score, upsert, checkpoint: str, once: bool = False, every: str = "15 minutes") -> StreamingQuery:

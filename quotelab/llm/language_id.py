@@ -6,8 +6,9 @@ score is the product over its words, and the language with the largest posterior
 so every text has a score. The probabilities come from expectation maximisation: forward and backward passes
 share each word of the training sample among the pieces of its segmentations.
 
-Words are lower-cased (ASCII) runs without ASCII digits, punctuation and white space, led by a space; longer ones are cut
-into parts of ``PART`` bytes. A null text, or one without any letter, is ``und`` with score 0. Rows with a null language or
+Words are lower-cased (ASCII) runs without ASCII digits, punctuation and white space, led by a space. They are never cut,
+and no piece that can stand in a word is left out: words of up to ``SHORT`` bytes are summed as they are, longer ones in
+logarithms, where nothing underflows. A null text, or one without any letter, is ``und`` with score 0. Rows with a null language or
 text teach nothing; without any training rows every text is ``und``. Repeated rows are scored and counted one by one.
 """
 from __future__ import annotations
@@ -27,23 +28,18 @@ from quotelab.session import discard, materialise
 #: Labelled rows a language is fitted on, as an expectation: each row is taken with this number over the language's rows.
 TRAIN_ROWS = 4000
 ROUNDS = 3
-#: Bytes in a part of a word, in a piece; words kept in a worker's memory.
-PART, PIECE, HELD_WORDS = 40, 12, 120_000
+#: Longest word summed without logarithms: a piece has a probability above 1e-12, so products of 24 stay above 1e-300.
+SHORT = 24
+#: Words and their bytes whose scores a worker holds, bytes of text scored together (one text at least), numbers of a lattice.
+HELD_WORDS, HELD_BYTES, TEXT_BYTES, CELLS = 120_000, 8_000_000, 4_000_000, 4_000_000
 UNKNOWN = "und"
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def words(text: bytes | None) -> list[bytes]:
-    """The parts of words that are scored, each but later parts of one word led by a space."""
-    out = []
-    for w in text.translate(_WORDS).split() if text else []:
-        w = b" " + w
-        if len(w) <= PART:
-            out.append(w)
-        else:
-            out.extend(w[at:at + PART] for at in range(0, len(w), PART))
-    return out
+    """The words that are scored, each led by a space."""
+    return [b" " + w for w in text.translate(_WORDS).split()] if text else []
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -55,14 +51,15 @@ def has_letter(text: bytes | None) -> bool:
 
 
 def vocabulary_pieces(path: str) -> list[bytes]:
-    """The pieces of a byte-level vocabulary file that are at most ``PIECE`` bytes long."""
+    """The lower-cased pieces of a byte-level vocabulary file that can stand in a word, and all single bytes."""
     plain = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
     other = [c for c in range(256) if c not in plain]
     byte_of = {chr(c): c for c in plain} | {chr(256 + k): c for k, c in enumerate(other)}
     with open(path, encoding="utf-8") as f:
         known = json.load(f)["model"]["vocab"]
     pieces = (bytes(byte_of[c] for c in piece) for piece in known if all(c in byte_of for c in piece))
-    return sorted({p.lower() for p in pieces if len(p) <= PIECE} | {bytes([c]) for c in range(256)})
+    lower = (p.lower() for p in pieces)
+    return sorted({p for p in lower if p[1:].translate(_WORDS) == p[1:] and b" " not in p[1:]} | {bytes([c]) for c in range(256)})
 
 
 class Pieces:
@@ -72,8 +69,9 @@ class Pieces:
 
     def __init__(self, pieces: dict[bytes, int]):
         self.none = len(pieces)
-        self._up = np.cumprod(np.array([1] + [self._BASE] * PART, np.uint64), dtype=np.uint64)
-        self._down = np.cumprod(np.array([1] + [pow(self._BASE, -1, 2**64)] * PART, np.uint64), dtype=np.uint64)
+        #: The lengths there are.
+        self.lengths = np.array(sorted({len(p) for p in pieces}), np.int64)
+        self._up = self._down = np.ones(1, np.uint64)
         hashes = np.array([sum((c + 1) * pow(self._BASE, i, 2**64) for i, c in enumerate(piece)) % 2**64 for piece in pieces], np.uint64)
         buckets = (hashes * self._MIX) >> self._BITS
         order = np.argsort(buckets, kind="stable")
@@ -81,11 +79,18 @@ class Pieces:
         self._first = np.searchsorted(buckets[order], np.arange((1 << 18) + 1, dtype=np.uint64)).astype(np.int32)
         self._most = int(np.diff(self._first).max(initial=0))
 
-    def ids(self, group: list[bytes], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The piece that each of the spans of each of the words (of one length) is, or ``none``."""
-        x = np.frombuffer(b"".join(group), np.uint8).reshape(len(group), -1).astype(np.uint64) + np.uint64(1)
-        sums = np.zeros((len(group), x.shape[1] + 1), np.uint64)
-        np.cumsum(x * self._up[:x.shape[1]], axis=1, dtype=np.uint64, out=sums[:, 1:])
+    def sums(self, group: list[bytes]) -> np.ndarray:
+        """Prefix sums of hashes of words of one length, from which the hash of any span follows."""
+        n = len(group[0])
+        if n >= len(self._up):
+            self._up, self._down = (np.cumprod(np.array([1] + [x] * 2 * n, np.uint64), dtype=np.uint64) for x in (self._BASE, pow(self._BASE, -1, 2**64)))
+        x = np.frombuffer(b"".join(group), np.uint8).reshape(len(group), n).astype(np.uint64) + np.uint64(1)
+        sums = np.zeros((len(group), n + 1), np.uint64)
+        np.cumsum(x * self._up[:n], axis=1, dtype=np.uint64, out=sums[:, 1:])
+        return sums
+
+    def ids(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The piece that each of the spans of each of the words is, or ``none``."""
         h = (sums[:, ends] - sums[:, starts]) * self._down[starts]
         bucket = (h * self._MIX) >> self._BITS
         at, end = self._first[bucket], self._first[bucket + np.uint64(1)]
@@ -107,6 +112,7 @@ class Model:
 
     def __post_init__(self):
         self.table = Pieces(self.pieces)
+        self.log_p = _logs(self.p)
 
 
 class Lattice:
@@ -114,8 +120,8 @@ class Lattice:
 
     def __init__(self, group: list[bytes], table: Pieces):
         self.n = n = len(group[0])
-        self.spans = [(i - l, i) for i in range(1, n + 1) for l in range(1, min(i, PIECE) + 1)]
-        self.ids = table.ids(group, *np.array(self.spans).T)
+        self.spans = [(i - l, i) for i in range(1, n + 1) for l in table.lengths.tolist() if l <= i]
+        self.ids = table.ids(table.sums(group), *np.array(self.spans).T)
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """Sums over the segmentations of each prefix; ``p`` has one row of values for each word and span."""
@@ -134,20 +140,89 @@ class Lattice:
         return b
 
 
-def _by_length(items: list[bytes], most: int = 2048) -> list[list[int]]:
-    """Indices of ``items`` grouped by length, in groups of bounded size."""
-    groups: dict[int, list[int]] = {}
+class LongLattice:
+    """The segmentations of long words, one after another padded to one length, in logarithms.
+
+    The pieces that end at ``WIDTH`` places are looked up at a time, so a word of any length needs little more than its own bytes.
+    """
+
+    WIDTH = 64
+
+    def __init__(self, group: list[bytes], table: Pieces):
+        self.table, self.ends = table, np.array([len(w) for w in group])
+        self.n = int(self.ends.max())
+        self.sums = table.sums([w.ljust(self.n, b"\0") for w in group])
+
+    def _slices(self, backward: bool = False):
+        """(end, starts, ids) of all places: ids has a row for each start."""
+        lengths = self.table.lengths
+        lows = range(1, self.n + 1, self.WIDTH)
+        for low in reversed(lows) if backward else lows:
+            ends = np.arange(low, min(low + self.WIDTH, self.n + 1))
+            starts = ends[:, None] - lengths
+            ids = self.table.ids(self.sums, np.maximum(starts, 0).ravel(), np.repeat(ends, len(lengths)))
+            ids = ids.reshape(-1, len(ends), len(lengths)).transpose(1, 2, 0)
+            for k in range(len(ends))[::-1] if backward else range(len(ends)):
+                fits = starts[k] >= 0
+                yield int(ends[k]), starts[k][fits], ids[k][fits]
+
+    def total(self, log_p: np.ndarray) -> np.ndarray:
+        """log of the sum over segmentations, word x column of ``log_p``; holds the sums of as many places as a piece is long."""
+        ring = int(self.table.lengths[-1]) + 1
+        a = np.full((ring, len(self.ends), log_p.shape[1]), -np.inf)
+        out = np.full(a.shape[1:], -np.inf)
+        a[0] = 0
+        for end, starts, ids in self._slices():
+            a[end % ring] = np.logaddexp.reduce(a[starts % ring] + log_p[ids], axis=0)
+            done = self.ends == end
+            out[done] = a[end % ring, done]
+        return out
+
+    def expected(self, log_p: np.ndarray, column: np.ndarray):
+        """(pieces, words, expected counts) of the spans of the words, each by its own column of ``log_p``."""
+        a = np.full((self.n + 1, len(self.ends)), -np.inf)
+        a[0] = 0
+        for end, starts, ids in self._slices():
+            a[end] = np.logaddexp.reduce(a[starts] + log_p[ids, column], axis=0)
+        whole = a[self.ends, np.arange(len(self.ends))]
+        z = np.full(a.shape, -np.inf)
+        z[self.ends, np.arange(len(self.ends))] = 0
+        for end, starts, ids in self._slices(backward=True):
+            step = log_p[ids, column] + z[end]
+            z[starts] = np.logaddexp(z[starts], step)
+            share = np.exp(a[starts] + step - whole)
+            k, word = np.nonzero(share)
+            yield ids[k, word], word, share[k, word]
+
+
+def _groups(items: list[bytes], table: Pieces, columns: int):
+    """(indices, lattice) of all ``items``, in groups of bounded size: short words by length, long ones by about their length."""
+    columns = max(columns, 1)
+    short: dict[int, list[int]] = {}
     for i, w in enumerate(items):
-        groups.setdefault(len(w), []).append(i)
-    return [g[at:at + most] for g in groups.values() for at in range(0, len(g), most)]
+        short.setdefault(len(w) if len(w) <= SHORT else 0, []).append(i)
+    long = sorted(short.pop(0, []), key=lambda i: len(items[i]))
+    for n, g in short.items():
+        most = max(1, CELLS // (n * min(n, len(table.lengths)) * columns))
+        for at in range(0, len(g), most):
+            yield g[at:at + most], Lattice([items[i] for i in g[at:at + most]], table)
+    while long:
+        # The last is the longest: it bounds the padded bytes, and the sums of a group over a piece's length.
+        most = max(1, min(CELLS // (2 * len(items[long[-1]])), CELLS // (LongLattice.WIDTH * len(table.lengths) * columns)))
+        g, long = long[-most:], long[:-most]
+        yield g, LongLattice([items[i] for i in g], table)
+
+
+def _logs(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(p)
 
 
 def log_scores(items: list[bytes], model: Model) -> np.ndarray:
     """log P(word | language), word x language."""
     out = np.empty((len(items), len(model.languages)))
-    for group in _by_length(items):
-        lattice = Lattice([items[i] for i in group], model.table)
-        out[group] = np.log(lattice.forward(model.p[lattice.ids])[-1])
+    for group, lattice in _groups(items, model.table, len(model.languages)):
+        out[group] = lattice.total(model.log_p) if isinstance(lattice, LongLattice) else _logs(lattice.forward(model.p[lattice.ids])[-1])
     return out
 
 
@@ -168,8 +243,11 @@ def _expect(model: Model):
         for b in batches:
             items, n = b.column("word").to_pylist(), b.column("n").to_numpy()
             lang = np.array([at[x] for x in b.column("lang").to_pylist()], np.int64)
-            for group in _by_length(items):
-                lattice = Lattice([items[i] for i in group], model.table)
+            for group, lattice in _groups(items, model.table, 1):
+                if isinstance(lattice, LongLattice):
+                    for piece, word, share in lattice.expected(model.log_p, lang[group]):
+                        np.add.at(total, (piece, lang[group][word]), share * n[group][word])
+                    continue
                 p = model.p[lattice.ids, lang[group][:, None]]
                 a, z = lattice.forward(p), lattice.backward(p)
                 weight = n[group] / a[-1]
@@ -205,6 +283,7 @@ def train(docs: DataFrame, vocabulary: str, rows: int = TRAIN_ROWS, rounds: int
         counts[got["piece"].to_numpy(), got["lang"].to_numpy()] += got["n"].to_numpy()
         counts[-1] = 0
         model.p = counts / counts.sum(axis=0)
+        model.log_p = _logs(model.p)
     discard(counted)
     return model
 
@@ -213,20 +292,29 @@ class Scorer:
     """Scores texts, holding the word scores of a bounded number of words."""
 
     def __init__(self, model: Model):
-        self.model, self.at = model, {}
-        self.table = np.empty((0, len(model.languages)))
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at, self.held, self.table = {}, 0, np.empty((0, len(self.model.languages)))
+
+    def _learn(self, new: list[bytes]) -> None:
+        self.at |= zip(new, range(len(self.at), len(self.at) + len(new)), strict=True)
+        self.held += sum(map(len, new))
+        self.table = np.vstack([self.table, log_scores(new, self.model)])
 
     def __call__(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        for low in range(0, len(texts), 256):
-            split = [words(t) for t in texts[low:low + 256]]
-            new = list(set().union(*split).difference(self.at))
+        for group in _by_bytes(texts):
+            split = [words(t) for t in group]
+            used = set().union(*split)
+            new = used.difference(self.at)
+            if len(self.at) + len(new) > HELD_WORDS or self.held + sum(map(len, new)) > HELD_BYTES:
+                self._forget()
+                new = used
             if new:
-                if len(self.at) + len(new) > HELD_WORDS:
-                    self.at, self.table, new = {}, self.table[:0], list(set().union(*split))
-                self.at |= zip(new, range(len(self.at), len(self.at) + len(new)), strict=True)
-                self.table = np.vstack([self.table, log_scores(new, self.model)])
-            for text, own in zip(texts[low:low + 256], split, strict=True):
+                self._learn(list(new))
+            for text, own in zip(group, split, strict=True):
                 if not self.model.languages or not has_letter(text):
                     langs.append(UNKNOWN)
                     scores.append(0.0)
@@ -238,6 +326,20 @@ class Scorer:
         return langs, scores
 
 
+def _by_bytes(texts: list[bytes | None]):
+    """Runs of at most 256 texts and ``TEXT_BYTES``, or one text."""
+    group, size = [], 0
+    for t in texts:
+        n = len(t) if t else 0
+        if group and (size + n > TEXT_BYTES or len(group) == 256):
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += n
+    if group:
+        yield group
+
+
 _scorers: dict[int, Scorer] = {}
 
 

@@ -5,8 +5,12 @@ latter. Its risk is prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_p
 zero, the step goes the other way, which keeps the network from fitting the unlabelled texts one by one. With the logistic
 loss its output is the log odds of being a positive.
 
+The share of positives is estimated from positives and unlabelled texts too: negative labels are never read. A first network
+tells the two samples apart; among the texts it likes best nearly all unlabelled ones are positives, so there the tail of the
+unlabelled over that of the positives is the share.
+
 Null texts and texts without words score 0. Without positives every other text scores the prior. Rows of labels that
-disagree on a document, or hold nulls, teach nothing; repeated rows of documents are scored one by one.
+disagree on a document, or hold nulls, teach nothing (a negative label only takes back a positive one); repeated rows of documents are scored one by one.
 """
 from __future__ import annotations
 
@@ -64,10 +68,43 @@ def positive_unlabelled_gradient(z_pos: np.ndarray, z_unl: np.ndarray, prior: fl
     return positive + negative, d_pos - prior * sig(-z_pos) / p, d_unl
 
 
+def two_sample_gradient(z_pos: np.ndarray, z_unl: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The logistic loss of telling positives from unlabelled texts, both of weight one, and its gradient."""
+    p, u = max(1, len(z_pos)), max(1, len(z_unl))
+    loss = np.logaddexp(0, -z_pos).sum() / p + np.logaddexp(0, z_unl).sum() / u
+    return loss, -1 / (1 + np.exp(z_pos)) / p, 1 / (1 + np.exp(-z_unl)) / u
+
+
+def tail_share(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """The share of positives among ``unlabelled`` scores: the least ratio of upper tails.
+
+    Of all cuts that one counts at which the ratio is surely small: its value plus the error its two tails may have, at
+    confidence ``delta``, is least. Far up the tails are pure but hold few texts.
+    """
+    cuts = np.unique(positive)
+    above = lambda z: 1 - np.searchsorted(np.sort(z), cuts) / len(z)
+    p, u = above(positive), above(unlabelled)
+    error = (np.log(4 / delta) / (2 * len(unlabelled))) ** 0.5 + (np.log(4 / delta) / (2 * len(positive))) ** 0.5
+    k = int(((u + error) / p).argmin())
+    return float(min(max(u[k] / p[k], 0.01), 0.99))
+
+
+def estimate_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among ``unlabelled``: halves fit the first network, the other halves are its held-back tails."""
+    if min(len(positives), len(unlabelled)) < 4:
+        return 0.5
+    rng = np.random.default_rng(5)
+    x, y = positives[rng.permutation(len(positives))], unlabelled[rng.permutation(len(unlabelled))]
+    half, mid = len(x) // 2, len(y) // 2
+    first = Network(x[:half], y[:mid], 0.5, epochs=20, gradient=two_sample_gradient)
+    return tail_share(first.outputs(x[half:]), first.outputs(y[mid:]))
+
+
 class Network:
     """One hidden layer over clipped standard scores of the features."""
 
-    def __init__(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 32, epochs: int = 60, seed: int = 3):
+    def __init__(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 32, epochs: int = 60, seed: int = 3,
+                 gradient=positive_unlabelled_gradient):
         self.prior, self.fitted = prior, len(positives) > 0 and len(unlabelled) > 0
         if not self.fitted:
             return
@@ -84,7 +121,7 @@ class Network:
             for a, b in zip(deal_x, deal_y, strict=True):
                 both = np.vstack([x[a], y[b]])
                 h, z = self._forward(both)
-                _, d_pos, d_unl = positive_unlabelled_gradient(z[:len(a)], z[len(a):], prior)
+                _, d_pos, d_unl = gradient(z[:len(a)], z[len(a):], prior)
                 d = np.concatenate([d_pos, d_unl])
                 dh = np.outer(d, self.w[2]) * (h > 0)
                 t += 1
@@ -101,10 +138,13 @@ class Network:
         h = np.maximum(x @ self.w[0] + self.w[1], 0)
         return h, h @ self.w[2] + self.w[3]
 
+    def outputs(self, x: np.ndarray) -> np.ndarray:
+        return self._forward(self._scaled(x))[1]
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.fitted:
             return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self._forward(self._scaled(x))[1], -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.outputs(x), -50, 50)))
 
 
 def _feature_rows(batches):
@@ -120,18 +160,17 @@ def _sample_features(rows: DataFrame, most: int) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, id_col: str = "doc_id",
           text_col: str = "text", label_col: str = "quality") -> Network:
-    """Fit on samples of the documents and of the rows of ``labels`` with label 1; the prior is the share of ones in ``labels``."""
+    """Fit on samples of the documents and of the rows of ``labels`` with label 1. Prior and network come from these alone."""
     marks = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     marks = marks.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most")
-    n, ones = marks.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    prior = min(max(ones / n, 0.01), 0.99) if n else 0.5
+    ones = marks.filter("y = 1").count()
     within = lambda h, most, of: F.pmod(h, F.lit(1 << 30)) < int(min(1.0, most / max(of, 1)) * (1 << 30))
     trusted = marks.filter("y = 1").filter(within(F.xxhash64("doc_id", F.lit(5)), positives, ones)).select("doc_id").limit(2 * positives)
     rows = keyed_text(docs, id_col, text_col).filter("text IS NOT NULL")
     total = rows.count()
     x = _sample_features(rows.join(F.broadcast(trusted), "doc_id"), 2 * positives)  # at most 2 * positives ids
     u = _sample_features(rows.filter(within(F.xxhash64("doc_id", "text"), unlabelled, total)), 2 * unlabelled)
-    return Network(x, u, prior)
+    return Network(x, u, estimate_prior(x, u))
 
 
 def score(docs: DataFrame, model: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

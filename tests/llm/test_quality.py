@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quotelab.llm import quality as L
 from quotelab.llm import queries as Q
@@ -53,3 +54,18 @@ def test_edge_cases(spark):
     got = L.predictions(docs, labels).collect()
     assert len(got) == 6 and {r.score for r in got if r.doc_id in (1, 2, 4)} == {0.0} and {r.score for r in got if r.doc_id == 3} == {0.5}
     assert L.predictions(docs.limit(0), labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.15, 0.4, 0.7])
+def test_prior_of_mixtures_of_known_share(share):
+    rng = np.random.default_rng(9)
+    draw = lambda n, at: rng.normal(at, 1, (n, 4))
+    n = 8000
+    ones = int(n * share)
+    unlabelled = np.vstack([draw(ones, 1.5), draw(n - ones, -1.5)])
+    assert L.estimate_prior(draw(4000, 1.5), unlabelled) == pytest.approx(share, abs=0.05)
+
+
+def test_prior_of_tiny_samples():
+    assert L.estimate_prior(np.ones((2, 3)), np.ones((9, 3))) == 0.5
+    assert 0.01 <= L.estimate_prior(np.ones((50, 3)), np.ones((90, 3))) <= 0.99

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from quotelab.dims import BOOKS, Books
 from quotelab.functions import pricing as P
 from quotelab.operators.keys import first_per_key, null_safe_join
-from quotelab.operators.skew import equal_width_bin, ordered_rank, quantiles, running_totals
+from quotelab.operators.skew import ordered_rank, quantile_bin, quantiles, running_totals
 from quotelab.session import materialise
 
 DECIDED = ("win", "loss")
@@ -26,6 +26,8 @@ POISSON_CDF = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.999
 RECENT_SHARE, MIN_RECENT = 1.0 / 3.0, 60
 STRATA, MIN_STRATUM = 20, 50
 # ---- end of fixed values -----------------------------------------------------------------------
+#: Clusters of one group that a task of the bootstrap folds.
+TILE = 16_384
 
 
 def stakeable(price: Column) -> Column:
@@ -81,9 +83,9 @@ def calibration_error(bins: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _replicate_sums(by: list[str], n_boot: int, block: int = 512):
-    """Partition function: weighted sums per replicate over the clusters of a task.
+    """Partition function: weighted sums per replicate over the clusters of a task, whose groups follow one another.
 
-    A cluster's Poisson(1) weight in a replicate comes from integer hashing of both, so it is the same wherever and
+    Holds the sums of one group. A cluster's Poisson(1) weight in a replicate comes from integer hashing of both, so it is the same wherever and
     however often it is computed.
     """
     m = 1000003
@@ -91,18 +93,23 @@ def _replicate_sums(by: list[str], n_boot: int, block: int = 512):
     def run(batches):
         weights = np.searchsorted(np.array(POISSON_CDF), np.arange(m) / float(m), side="right").astype(np.float64)
         rep = np.arange(n_boot, dtype=np.int64)[None, :]
-        sums: dict = {}
+        last, acc = None, None
+        column = lambda v: pd.Series([None if v != v else v] * n_boot, dtype=object)
+        done = lambda: pd.DataFrame({**{c: column(v) for c, v in zip(by, last, strict=True)}, "rep": rep[0], "num": acc[0], "den": acc[1]})
         for pdf in batches:
-            for key, part in pdf.groupby(by):
-                acc = sums.setdefault(key, np.zeros((2, n_boot)))
+            for key, part in pdf.groupby(by, sort=False, dropna=False):
+                if acc is None or not all(a == b or (a != a and b != b) or (a is None and b is None) for a, b in zip(key, last, strict=True)):
+                    if acc is not None:
+                        yield done()
+                    last, acc = key, np.zeros((2, n_boot))
                 cluster, values = part["c"].to_numpy(np.int64), part[["s", "n"]].to_numpy(np.float64)
                 for i in range(0, len(cluster), block):
                     c = cluster[i : i + block, None]
                     h = (c * 7919 + rep * 104729) % m
                     g = (h * h + c * 31 + rep * 17 + 11) % m
                     acc += values[i : i + block].T @ weights[(g * g + h * 7 + rep) % m]
-        for key, acc in sums.items():
-            yield pd.DataFrame({**dict(zip(by, key)), "rep": rep[0], "num": acc[0], "den": acc[1]})
+        if acc is not None:
+            yield done()
 
     return run
 
@@ -116,13 +123,16 @@ def integer_key(df: DataFrame, column: str) -> Column:
 def bootstrap_replicates(bets: DataFrame, by: list[str], n_boot: int, cluster: str = "event_id") -> DataFrame:
     """(by, rep, roi): return in each replicate of a bootstrap over whole clusters.
 
-    Bets collapse to one sum and count per cluster, evenly spread over tasks. Each task folds its clusters into one
-    sum per group and replicate, so groups x replicates rows per task are shuffled whatever the number of clusters.
-    Vectorised in Python because the weight of every (cluster, replicate) is the whole cost.
+    Bets collapse to one sum and count per cluster. A group is dealt to one task for each ``TILE`` of its clusters and
+    sorted there, so a task folds one group after another and holds the sums of one; a group's rows per tile and
+    replicate are all that is shuffled on. Vectorised in Python because the weight of every (cluster, replicate) is the whole cost.
     """
     spread = int(bets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = bets.groupBy(*by, cluster).agg(F.sum("profit").alias("s"), F.count("*").alias("n"))
-    c = c.select(*by, integer_key(c, cluster).alias("c"), "s", "n").repartition(spread)
+    c = c.select(*by, integer_key(c, cluster).alias("c"), "s", "n")
+    tiles = c.groupBy(*by).agg(F.ceil(F.count("*") / TILE).alias("__tiles"))
+    c = null_safe_join(c, tiles, by, "inner", nullable=by).withColumn("__tile", F.pmod(F.xxhash64("c"), F.col("__tiles")))
+    c = c.repartition(spread, *by, "__tile").sortWithinPartitions(*by).select(*by, "c", "s", "n")
     schema = T.StructType([*[c.schema[k] for k in by], T.StructField("rep", T.LongType()), T.StructField("num", T.DoubleType()), T.StructField("den", T.DoubleType())])
     return c.mapInPandas(_replicate_sums(by, n_boot), schema).groupBy(*by, "rep").agg(F.try_divide(F.sum("num"), F.sum("den")).alias("roi"))
 
@@ -244,7 +254,7 @@ def breakdowns(bets: DataFrame, min_book_bets: int = 10) -> DataFrame:
     return g.filter((F.col("breakdown") != "book") | (F.col("n") >= min_book_bets))
 
 
-def stratified_auc(df: DataFrame, by: list[str], x: str, won: str, market: str, tie: str, strata: int = STRATA, min_stratum: int = MIN_STRATUM, n_bins: int = 256) -> DataFrame:
+def stratified_auc(df: DataFrame, by: list[str], x: str, won: str, market: str, tie: str, strata: int = STRATA, min_stratum: int = MIN_STRATUM, n_bins: int = 64) -> DataFrame:
     """(by, n, auc): AUC of ``x`` within equal-count strata of the market value, pooled by pairs compared.
 
     Strata come from ordered ranks and the comparisons from running counts per distinct value, so neither step
@@ -259,7 +269,7 @@ def stratified_auc(df: DataFrame, by: list[str], x: str, won: str, market: str,
     # One row per distinct value from here on, stored: bins, running counts and offsets all read it.
     d = materialise(d.groupBy(*keys, F.col(x).alias("x")).agg(
         F.sum(F.col(won).cast("bigint")).alias("n1"), F.sum((1 - F.col(won)).cast("bigint")).alias("n0")), "strata")
-    d = equal_width_bin(d, keys, "x", n_bins)
+    d = quantile_bin(d, keys, "x", n_bins)
     v = running_totals(d.withColumnRenamed("__w", "bin"), [*keys, "bin"], "x", F.lit(0), ["n1", "n0"]).select(*keys, "bin", "x", "n1", "n0", F.col("n0_below").alias("below_in_bin"))
     bins = v.groupBy(*keys, "bin").agg(F.sum("n0").alias("b0"))
     before = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -46,6 +46,7 @@ def lagged_form(
     ``current`` is a prefix for the same windows with the current row in them, which only an audit wants.
     Every entity is cut into ordered chunks of ``chunk_rows``, each led by the tail of its predecessor, so a few entities
     with long histories spread over as many tasks as their rows fill; sums of whole chunks carry the expanding means.
+    Inside a chunk every column is summed up once; a window is the difference of two of these sums, whatever its length.
     """
     size, halo = max(chunk_rows, max(windows)), max(windows)
     d = ordered_rank(df, [entity], F.col(start), [tie], "__rank", "__total")
@@ -64,8 +65,10 @@ def lagged_form(
     sums = sums.select(
         entity, "chunk", *[F.coalesce(F.sum(f"__{k}_{c}").over(carried), F.lit(0)).alias(f"__{k}_{c}") for c in cols for k in "sn"]
     )
+    upto = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = null_safe_join(d, sums, [entity, "chunk"], "inner", [entity]).withColumns(
+        {f"__up_{k}_{c}": v for c in cols for k, v in (("s", F.coalesce(F.sum(c).over(upto), F.lit(0))), ("n", F.count(c).over(upto)))})
     out = _rolling(cols, windows, prefix, base)
-    d = null_safe_join(d, sums, [entity, "chunk"], "inner", [entity])
     for c in cols:
         n = F.col(f"__n_{c}") + F.count(mine(c)).over(before)
         s = F.col(f"__s_{c}") + F.coalesce(F.sum(mine(c)).over(before), F.lit(0))
@@ -80,11 +83,13 @@ def lagged_form(
 
 
 def _rolling(cols, windows, prefix, base, shift=0):
+    """Means of the ``n`` rows before the current one, or with ``shift`` 1 up to it, from the sums up to each row."""
+    at = lambda c, back: F.col(c) if back == 0 else F.coalesce(F.lag(c, back).over(base), F.lit(0))
     out = {}
     for c in cols:
         for n in windows:
-            w = base.rowsBetween(shift - n, shift - 1)
-            out[f"{prefix}{c}_r{n}"] = F.when(F.count(c).over(w) >= min_observations(n), F.avg(c).over(w))
+            s, k = (at(f"__up_{x}_{c}", 1 - shift) - at(f"__up_{x}_{c}", 1 - shift + n) for x in "sn")
+            out[f"{prefix}{c}_r{n}"] = F.when(k >= min_observations(n), s / k)
     return out
 
 

@@ -66,26 +66,26 @@ def running_totals(df: DataFrame, groups: list[str], value: str, bin: Column, su
     )
 
 
-def equal_width_bin(df: DataFrame, groups: list[str], value: str, n_bins: int) -> DataFrame:
-    """Adds ``__w``: the bin of ``value`` between the minimum and maximum of its group."""
-    ends = df.groupBy(*groups).agg(F.min(value).alias("__min"), F.max(value).alias("__max"))
-    share = F.try_divide(F.col(value) - F.col("__min"), F.col("__max") - F.col("__min"))
-    return df.join(ends, groups).withColumn(
-        "__w", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * n_bins), F.lit(n_bins - 1))
-    ).drop("__min", "__max")
+def quantile_bin(df: DataFrame, groups: list[str], value: str, n_bins: int = 64) -> DataFrame:
+    """Adds ``__w``: how many of the group's ``n_bins - 1`` splitters lie at or below ``value``.
+
+    The splitters are approximate quantiles of the rows, from sketches that merge across tasks, so bins hold about the
+    same number of rows however heavy the tail is. Values in a higher bin are larger; equal ones share a bin.
+    """
+    probs = [i / n_bins for i in range(1, n_bins)]
+    ends = df.groupBy(*groups).agg(F.array_distinct(F.percentile_approx(value, probs, 50 * n_bins)).alias("__splits"))
+    below = F.size(F.filter(F.coalesce("__splits", F.array().cast(ends.schema["__splits"].dataType)), lambda s: s <= F.col(value)))
+    return df.join(ends, groups).withColumn("__w", below).drop("__splits")
 
 
-def quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float], n_bins: int = 4096) -> DataFrame:
+def quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float], n_bins: int = 64) -> DataFrame:
     """Exact interpolated quantiles per group: one row per (groups, i) with the i-th of ``probs`` as ``q``.
 
     Counts per bin locate the order statistics; only the bins that hold one are looked into. Nothing grows with
     the group except the counts of distinct values inside those bins.
     """
-    counts = equal_width_bin(df.filter(F.col(value).isNotNull()).select(*groups, value), groups, value, n_bins)
-    ranked = (
-        counts.withColumn("n", F.lit(1))
-        .transform(lambda d: d.groupBy(*groups, value, "__w").agg(F.sum("n").alias("n")))
-    )
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
+    ranked = quantile_bin(counts, groups, value, n_bins)
     bins = ranked.groupBy(*groups, "__w").agg(F.sum("n").alias("bn"))
     upto = Window.partitionBy(*groups).orderBy("__w").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = bins.select(

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 from quotelab.operators import evaluate as E
 from quotelab.operators import form as FM
 from quotelab.operators.isotonic import apply_isotonic, fit_isotonic
-from quotelab.operators.skew import ordered_rank, quantiles, running_totals
+from quotelab.operators.skew import ordered_rank, quantile_bin, quantiles, running_totals
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +97,64 @@ def test_isotonic_equals_plain_pooling(spark):
     for g, part in out.groupby("g"):
         part = part.sort_values("x")
         np.testing.assert_allclose(part.p.to_numpy(), pava(part.x.to_numpy(), part.y.to_numpy()), atol=1e-9)
+
+
+def test_windows_equal_plain_frames(rows):
+    """Differences of prefix sums are the averages of the frames, nulls and short histories included."""
+    got = FM.lagged_form(rows, "g", "ts", "id", ["x"], (10, 30), "f_", chunk_rows=40, current="c_")
+    base = Window.partitionBy("g").orderBy("ts", "id")
+    bad = F.lit(False)
+    for prefix, shift in (("f_", 0), ("c_", 1)):
+        for n in (10, 30):
+            w = base.rowsBetween(shift - n, shift - 1)
+            rows = rows.withColumn(f"w_{prefix}{n}", F.when(F.count("x").over(w) >= FM.min_observations(n), F.avg("x").over(w)))
+            a, b = F.col(f"{prefix}x_r{n}"), F.col(f"w_{prefix}{n}")
+            bad = bad | (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) > 1e-9, F.lit(False))
+    both = got.join(rows.drop("g", "ts", "v", "x"), "id")
+    assert both.count() == 3000 and both.filter(bad).count() == 0
+
+
+def test_ranges_of_a_heavy_tail_are_even(spark):
+    """Bins of equal width would hold nearly every lognormal value in the first."""
+    d = spark.range(20_000).select("id", F.lit("g").alias("g"), F.exp(4 * F.randn(7)).alias("x"))
+    binned = quantile_bin(d, ["g"], "x", 64)
+    cells = binned.groupBy("__w").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("__w").collect()
+    assert len(cells) == 64 and max(c.n for c in cells) < 2 * 20_000 / 64
+    assert all(a.high < b.low for a, b in zip(cells, cells[1:]))
+    nulls = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0)], "g string, x double")
+    assert {(r.g, r["__w"]) for r in quantile_bin(nulls, ["g"], "x").collect()} <= {("a", 0), ("b", 0), ("b", 1)}
+
+
+def test_auc_of_a_heavy_tail(spark):
+    rng = np.random.default_rng(4)
+    x, won, m = np.exp(4 * rng.normal(size=2000)), rng.integers(0, 2, 2000), rng.random(2000)
+    d = spark.createDataFrame([(k, "g", float(a), int(b), float(c)) for k, (a, b, c) in enumerate(zip(x, won, m))], "id long, g string, x double, won int, m double")
+    got = E.stratified_auc(d, ["g"], "x", "won", "m", "id").first()
+    u = pairs = 0.0
+    for part in np.array_split(np.argsort(m, kind="stable"), E.STRATA):
+        one, none = x[part][won[part] == 1], x[part][won[part] == 0]
+        u += (one[:, None] > none).sum() + (one[:, None] == none).sum() / 2
+        pairs += len(one) * len(none)
+    assert got.n == 2000 and got.auc == pytest.approx(u / pairs)
+
+
+def test_bootstrap_holds_one_group_at_a_time(spark, monkeypatch):
+    """Many groups, one of them with a third of the rows and cut into tiles, a null one too: as all sums at once."""
+    monkeypatch.setattr(E, "TILE", 64)
+    d = spark.range(3000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("g"), (F.col("id") % 200).cast("string"))).alias("g"),
+                                 (F.pmod(F.col("id") * 7919, F.lit(1009)) / 500.0 - 1).alias("profit"))
+    got = {(r.g, r.rep): r.roi for r in E.bootstrap_replicates(d, ["g"], 20).collect()}
+    sums: dict = {}
+    weigh = np.searchsorted(np.array(E.POISSON_CDF), np.arange(1000003) / 1000003.0, side="right")
+    rep = np.arange(20)
+    for r in d.collect():
+        c = r.event_id
+        h = (c * 7919 + rep * 104729) % 1000003
+        k = (h * h + c * 31 + rep * 17 + 11) % 1000003
+        w = weigh[(k * k + h * 7 + rep) % 1000003]
+        acc = sums.setdefault(r.g, np.zeros((2, 20)))
+        acc += np.array([r.profit * w, w])
+    assert len(got) == 20 * len(sums) and None in sums
+    for g, (num, den) in sums.items():
+        for k in range(20):
+            assert got[g, k] is None if den[k] == 0 else got[g, k] == pytest.approx(num[k] / den[k])

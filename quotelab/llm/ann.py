@@ -3,10 +3,12 @@
 A neighbour graph over a bounded sample is cut into balanced parts; a small classifier learns which part a vector belongs
 to, and puts every vector of the table into its most probable part. A query goes to the few most probable parts and is
 compared with all vectors there by exact distance. Sample, graph and classifier have a fixed size; parts grow with the table,
-so they are cut into blocks, each of which answers with its own nearest, and the answers meet per query.
+so they are cut into blocks, and so are the queries sent to a part; each pair of blocks answers with its own nearest, and the
+answers meet per query.
 
 A vector that is null, zero, or holds null or non-finite components takes no part, neither do vectors of another length than
-the most frequent one, nor rows with a null id. Rows with one id are candidates of their own but never their own neighbours.
+the most frequent one, nor rows with a null id. Rows with one id are candidates of their own but never their own neighbours;
+as a query such an id stands for the least of its vectors, compared component by component.
 """
 from __future__ import annotations
 
@@ -24,8 +26,8 @@ SAMPLE, PARTS, DEGREE = 8192, 64, 10
 PART_SAMPLE = 64
 #: Parts of ``PARTS`` that a query is sent to, and in proportion of fewer. Vectors without any structure need this many for a recall of 0.9; clustered ones far fewer.
 PROBES = 48
-#: Vectors of one part that a task compares with queries at once.
-BLOCK = 1024
+#: Vectors of one part, and queries to it, that a task compares at once.
+BLOCK, QUERY_BLOCK = 1024, 8192
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -172,11 +174,17 @@ def _nearest(k: int):
 
 def _found(points: DataFrame, blocks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest of each row of ``asked`` (query_id, v, parts) among the points of its parts."""
-    stored = points.join(F.broadcast(blocks), "part").select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
-    asked = asked.select("query_id", "v", F.explode("parts").alias("q_part")).join(F.broadcast(blocks.toDF("q_part", "n")), "q_part")
-    asked = asked.select("query_id", "v", "q_part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q_block"))
-    found = asked.groupBy("q_part", "q_block").cogroup(stored.groupBy("part", "block")).applyInPandas(
-        _nearest(k), "query_id long, vec_id long, score double")
+    asked = asked.select("query_id", "v", F.explode("parts").alias("part"))
+    # One row per part on the driver, as for the blocks of points.
+    sizes = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("asks")).collect()
+    asks = points.sparkSession.createDataFrame([(r.part, r.asks) for r in sizes], "part int, asks int")
+    cut = F.broadcast(blocks.join(asks, "part"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    salt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    stored = points.join(cut, "part").select("vec_id", "v", "part", salt("vec_id", "blocks").alias("block"), upto("asks").alias("ask"))
+    asked = asked.join(cut, "part").select("query_id", "v", "part", upto("blocks").alias("block"), salt("query_id", "asks").alias("ask"))
+    at = ["part", "block", "ask"]
+    found = asked.groupBy(*at).cogroup(stored.groupBy(*at)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -191,7 +199,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, probes: int = PROBES,
     # One row per part: a bounded number.
     sizes = points.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).collect()
     blocks = rows.sparkSession.createDataFrame([(r.part, r.blocks) for r in sizes], "part int, blocks int")
-    queries = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    queries = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     asked = materialise(queries.mapInArrow(_routed(router, probes, ["query_id"]), "query_id long, v array<double>, parts array<int>"), "queries")
     first = materialise(_found(points, blocks, asked, k), "nearest")
     short = asked.join(first.groupBy("query_id").count().filter(F.col("count") >= k), "query_id", "left_anti")

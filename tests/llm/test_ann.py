@@ -49,6 +49,34 @@ def test_edge_cases(spark):
     assert A.nearest_neighbours(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block, query_block", [(1, 1), (7, 3)])
+def test_small_blocks_and_ids_with_many_vectors(spark, monkeypatch, block, query_block):
+    monkeypatch.setattr(A, "BLOCK", block)
+    monkeypatch.setattr(A, "QUERY_BLOCK", query_block)
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=4).astype("f4").tolist()) for k in range(0, 1200, 20)] + [(100, [2.0, 0.0, 0.0, 1.0]), (100, [-9.0, 5.0, 1.0, 1.0]), (20, [-9.0, 5.0, 1.0, 2.0])]
+    got = {}
+    for r in A.nearest_neighbours(spark.createDataFrame([(i, v, "x", 1) for i, v in rows], VEC), F.col("vec_id") % 100 == 0, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    asked = {i: min(v for j, v in rows if j == i) for i, _ in rows if i % 100 == 0}
+    assert got.keys() == asked.keys()
+    for q, v in asked.items():
+        want = sorted((float(np.linalg.norm(np.subtract(v, w))), j) for j, w in rows if j != q)[:3]
+        assert [j for j, _ in got[q]] == [j for _, j in want] and np.allclose([s for _, s in got[q]], [s for s, _ in want])
+
+
+def test_clustered_vectors_need_a_tenth_of_the_parts(spark):
+    rng = np.random.default_rng(4)
+    centres = 6 * rng.normal(size=(64, 16))
+    rows = [(k, (centres[k % 64] + rng.normal(size=16)).astype("f4").tolist()) for k in range(6400)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], VEC)
+    want, got = _brute(rows), {}
+    for r in A.nearest_neighbours(df, F.col("vec_id") % 100 == 0, probes=6).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = np.mean([len(got[q] & {j for _, j in x}) / 10 for q, x in want.items()])
+    assert recall >= 0.9, recall
+
+
 def test_parts_are_balanced_and_follow_clusters():
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(size=(100, 8)) + 20 * rng.normal(size=8) for _ in range(8)])

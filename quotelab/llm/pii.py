@@ -292,7 +292,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     once = rows.withColumn("found", F.coalesce(_mentions(F.col("text")), F.array().cast("array<string>")))
     once = once.withColumn("named", F.exists("found", lambda x: x.rlike(_TITLED)))
     wide = F.regexp_extract_all("text", F.lit(_WIDE), F.lit(0))
-    once = materialise(once.select("row", "text", "named", F.when(F.col("named"), wide).otherwise(F.col("found")).alias("mentions")), "mentions")
+    once = materialise(once.select("row", "named", F.when(F.col("named"), wide).otherwise(F.col("found")).alias("mentions")), "mentions")
+    once = once.withColumn("text", F.col("row").getField(text_col).cast("string"))  # the row holds it; stored twice it would double the table
     found = once.filter(F.size("mentions") > 0).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
 
     each = found.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.posexplode("mentions").alias("m_at", "mention"))

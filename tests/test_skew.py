@@ -158,3 +158,15 @@ def test_bootstrap_holds_one_group_at_a_time(spark, monkeypatch):
     for g, (num, den) in sums.items():
         for k in range(20):
             assert got[g, k] is None if den[k] == 0 else got[g, k] == pytest.approx(num[k] / den[k])
+
+
+def test_bootstrap_folds_clusters_of_one_remainder(spark, monkeypatch):
+    """What the replicates are computed from is bounded by the hash's modulus, however many clusters a table has."""
+    d = spark.range(400).select(F.lit("a").alias("g"), (F.col("id") % 80 + F.floor(F.col("id") / 80) * 1000003).alias("event_id"), (F.pmod(F.col("id") * 7919, F.lit(1009)) / 500.0 - 1).alias("profit"))
+    same = d.withColumn("event_id", F.col("event_id") % 1000003)
+    a, b = ({r.rep: r.roi for r in E.bootstrap_replicates(x, ["g"], 30).collect()} for x in (d, same))
+    assert a == pytest.approx(b)
+    assert E.bootstrap(d, ["g"], 30).first().n_clusters == 400
+    seen = lambda by, n_boot: lambda batches: (p.assign(rep=p["c"], num=1.0, den=1.0)[[*by, "rep", "num", "den"]] for p in batches)
+    monkeypatch.setattr(E, "_replicate_sums", seen)
+    assert {r.rep for r in E.bootstrap_replicates(d, ["g"], 30).collect()} == set(range(80))

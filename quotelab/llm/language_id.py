@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ ROUNDS = 3
 #: Longest word summed without logarithms: a piece has a probability above 1e-12, so products of 24 stay above 1e-300.
 SHORT = 24
 #: Words and their bytes whose scores a worker holds, bytes of text scored together (one text at least), numbers of a lattice.
-HELD_WORDS, HELD_BYTES, TEXT_BYTES, CELLS = 120_000, 8_000_000, 4_000_000, 4_000_000
+HELD_WORDS, HELD_BYTES, TEXT_BYTES, CELLS = 120_000, 8_000_000, 4_000_000, 1_000_000
 UNKNOWN = "und"
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -303,26 +304,38 @@ class Scorer:
         self.held += sum(map(len, new))
         self.table = np.vstack([self.table, log_scores(new, self.model)])
 
+    def _scores(self, used: list[bytes]) -> np.ndarray:
+        """log P(word | language) of distinct words, held ones from the table."""
+        new = [w for w in used if w not in self.at]
+        if len(self.at) + len(new) > HELD_WORDS or self.held + sum(map(len, new)) > HELD_BYTES:
+            known = [w for w in used if w in self.at]
+            rows = self.table[[self.at[w] for w in known]]
+            self._forget()
+            self.at, self.held, self.table = dict(zip(known, range(len(known)), strict=True)), sum(map(len, known)), rows
+        if new:
+            self._learn(new)
+        return self.table[np.fromiter(map(self.at.__getitem__, used), np.int64, len(used))]
+
     def __call__(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         for group in _by_bytes(texts):
-            split = [words(t) for t in group]
-            used = set().union(*split)
-            new = used.difference(self.at)
-            if len(self.at) + len(new) > HELD_WORDS or self.held + sum(map(len, new)) > HELD_BYTES:
-                self._forget()
-                new = used
-            if new:
-                self._learn(list(new))
-            for text, own in zip(group, split, strict=True):
+            split = pc.split_pattern(pa.array([t.translate(_WORDS) if t else b"" for t in group], pa.large_binary()), b" ")
+            coded = split.values.dictionary_encode()  # words as numbers, without an object for each
+            which, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+            used = coded.dictionary.to_pylist()
+            table = self._scores([b" " + w for w in used if w])
+            gap = used.index(b"") if b"" in used else len(used)  # between two separators: no word
+            for k, text in enumerate(group):
                 if not self.model.languages or not has_letter(text):
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                total = self.model.log_prior + self.table[np.fromiter(map(self.at.__getitem__, own), np.int64, len(own))].sum(axis=0)
-                k = int(total.argmax())
-                langs.append(self.model.languages[k])
-                scores.append(float(1 / np.exp(total - total[k]).sum()))
+                own = which[ends[k]:ends[k + 1]]
+                own = own[own != gap]
+                total = self.model.log_prior + table[own - (own > gap)].sum(axis=0)
+                best = int(total.argmax())
+                langs.append(self.model.languages[best])
+                scores.append(float(1 / np.exp(total - total[best]).sum()))
         return langs, scores
 
 

@@ -137,3 +137,24 @@ def test_edge_cases(spark):
     assert none.languages == [] and {r.lang_pred for r in L.identify(L.keyed_text(docs), none).collect()} == {"und"}
     assert L.predictions(docs.limit(0), vocabulary).count() == 0
     assert model.p.sum(axis=0) == pytest.approx(1)
+
+
+def test_full_scorer_keeps_the_words_in_use(monkeypatch):
+    """A worker that has no room for more words scores none of those again that the texts at hand share with earlier ones."""
+    import numpy as np
+
+    from quotelab.llm import language_id as LI
+
+    pieces = {bytes([c]): c for c in range(256)}
+    model = LI.Model(["x", "y"], np.log([0.5, 0.5]), pieces, np.vstack([np.random.default_rng(1).random((256, 2)) / 256, np.zeros((1, 2))]))
+    asked = []
+    real = LI.log_scores
+    monkeypatch.setattr(LI, "log_scores", lambda items, m: asked.extend(items) or real(items, m))
+    texts = [b"red green blue", b"red green grey\n\nred", None, b" 12 "]
+    want = LI.Scorer(model)(texts)
+    asked.clear()
+    monkeypatch.setattr(LI, "HELD_WORDS", 3)
+    small = LI.Scorer(model)
+    got = [small([t]) for t in texts]
+    assert [g[0][0] for g in got] == want[0] and np.allclose([g[1][0] for g in got], want[1])
+    assert sorted(asked) == [b" blue", b" green", b" grey", b" red"]

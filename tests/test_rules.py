@@ -163,3 +163,17 @@ def test_dates_and_iso_text(spark):
     texts = ["2024-06-01T18:00:00Z", "2024-06-01T18:00Z", "2024-06-01T20:00:00+02:00", "no date"]
     got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(format_iso(parse_iso(F.col("t"))).alias("t")).collect()]
     assert got == ["2024-06-01T18:00:00Z"] * 3 + [None]
+
+
+def test_equal_bets_and_equal_payouts_have_one_winner(spark):
+    """+100 and -100 pay the same, and both sides can be worth the same: the order of the rows does not decide."""
+    from quotelab.operators import frames as FR
+
+    cols = "event_id long, market string, subject string, line double, side string, book string, tag string, price double, p_cons double, ev_cal double"
+    rows = [(1, "m", "g", None, s, "b0", "decision", p, 0.5, 0.1) for s in ("under", "over") for p in (-100.0, 100.0)]
+    for some in (rows, rows[::-1]):
+        d = spark.createDataFrame(some, cols).coalesce(1)
+        got = FR.candidates(d, books=FR.Books(weights={}, tiers={}, bettable=("b0",), dfs=(), major=()))
+        assert sorted((r.side, r.price) for r in got.collect()) == [("over", 100.0), ("under", 100.0)]
+        best = E.one_bet(d, ["event_id", "market", "subject"], "ev_cal", ["book"]).collect()
+        assert [(r.side, r.price) for r in best] == [("over", -100.0)]

@@ -1,6 +1,6 @@
 """Trained bundles on disk: saved whole or not at all, loaded by another process.
 
-A bundle is written into a folder of its own: Spark ML writers for the fitted models, Parquet for curves, shrinkage,
+A bundle is written into a folder of its own: Spark ML writers for trees, Parquet for coefficients, curves, shrinkage,
 thresholds and segments. Last, a numbered file lists it with the rows of every table, and makes it the current one.
 """
 from __future__ import annotations
@@ -8,7 +8,6 @@ from __future__ import annotations
 import uuid
 from dataclasses import asdict
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +36,10 @@ class _Writer:
             for k, block in enumerate(names):
                 model.models[block].write().save(f"{self.at}/{name}-trees-{k}")
             return {**about, "kind": "trees", "blocks": names}
-        if model.fitted is None:
+        if model.coefficients is None:
             return {**about, "kind": "nothing"}
-        model.fitted.write().save(f"{self.at}/{name}-pipeline")
-        return {**about, "kind": "pipeline"}
+        self.table(f"{name}-coefficients", model.coefficients)
+        return {**about, "kind": "blocks"}
 
 
 def save_bundle(bundle: Bundle, path: str) -> int:
@@ -84,7 +83,7 @@ def load_bundle(spark: SparkSession, path: str, number: int | None = None) -> Bu
         stats = table(f"{name}-stats")
         if b["kind"] == "trees":
             return BoostedBlocks({k: GBTClassificationModel.load(f"{at}/{name}-trees-{i}") for i, k in enumerate(b["blocks"])}, b["by"], b["features"], stats)
-        return BlockModel(None if b["kind"] == "nothing" else PipelineModel.load(f"{at}/{name}-pipeline"), stats, b["by"], b["features"])
+        return BlockModel(None if b["kind"] == "nothing" else table(f"{name}-coefficients"), stats, b["by"], b["features"])
 
     model = MarketModel(blocks("booster"), table("calibration"), table("shrink"), None, table("report"), about["model_by"], about["features"])
     selection = SelectionCalibrator(table("curves"), blocks("conditional"), about["rich"], about["selection_by"], Books(**{k: tuple(v) if isinstance(v, list) else v for k, v in about["books"].items()}))

@@ -9,6 +9,8 @@ from quotelab.sources import results as RS
 from quotelab.sources import snapshots as SN
 
 START = "2024-06-01 18:00:00"
+#: Packed files cannot be split, so tasks write several of them. Packing with gzip took more time than making the documents.
+PACKED = {"compression": "lz4", "maxRecordsPerFile": 100_000}
 
 
 def _line_docs(spark, sf, main_totals=None):
@@ -141,14 +143,14 @@ def _summaries(spark, sf):
                     F.struct(F.array(block).alias("players")).alias("boxscore"), plays.alias("plays"))
 
 
-def _read_summaries(spark, sf):
+def _read_summaries(spark, sf, schema=RS.SUMMARY):
     path = scratch_dir(spark, "boxscores")
-    _summaries(spark, sf).write.option("compression", "gzip").json(path)
-    return RS.read_summaries(spark, path)
+    _summaries(spark, sf).write.options(**PACKED).json(path)
+    return RS.read_summaries(spark, path, schema)
 
 
 def boxscore_json(spark, sf):
-    p = RS.player_rows(_read_summaries(spark, sf))
+    p = RS.player_rows(_read_summaries(spark, sf, RS.PLAYER_SUMMARY))
     num = ["at_bats", "hits", "rbi", "strike_outs", "walks", "outs", "earned_runs", "pitch_count", "total_bases", "doubles", "triples", "played"]
     return p.groupBy("event_id", "athlete_id", "grp").agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in num])
 
@@ -178,7 +180,7 @@ def scoreboard_json(spark, sf):
     path = scratch_dir(spark, "scoreboard")
     s = _summaries(spark, sf)
     event = F.struct(F.col("header.id").alias("id"), F.col("header.competitions")[0]["date"].alias("date"), F.col("header.competitions").alias("competitions"))
-    s.select(F.array(event).alias("events")).write.json(path)
+    s.select(F.array(event).alias("events")).write.options(**PACKED).json(path)
     d = RS.scoreboard(spark, path)
     return d.select("event_id", "status", "home_team", "away_abbr", "home_score")
 

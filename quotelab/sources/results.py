@@ -16,6 +16,8 @@ SUMMARY = (
     "athletes:array<struct<athlete:struct<id:string,displayName:string,shortName:string>,stats:array<string>,starter:boolean>>>>>>>, "
     "plays array<struct<type:struct<text:string>,atBatId:string,participants:array<struct<type:string,athlete:struct<id:string>>>>>"
 )
+#: What player rows are made of: a scan with this schema skips the competitions, whose nested objects cost most of the parsing.
+PLAYER_SUMMARY = f"header struct<id:string>, {SUMMARY[SUMMARY.index('boxscore struct'):]}"
 # ---- fixed values: final status, bases per hit, boxscore keys ---------------------------------------
 FINAL = "STATUS_FINAL"
 BASES = {"Single": 1, "Double": 2, "Triple": 3, "Home Run": 4}
@@ -39,7 +41,8 @@ def outs_pitched(innings: Column) -> Column:
 def scoreboard(spark: SparkSession, path: str) -> DataFrame:
     """One row per listed game: status, start, venue and both sides."""
     d = spark.read.schema(SCOREBOARD).json(path).select(F.inline("events")).withColumn("c", F.get("competitions", F.lit(0)))
-    home, away = _side(F.col("c.competitors"), "home"), _side(F.col("c.competitors"), "away")
+    d = d.withColumns({s: _side(F.col("c.competitors"), s) for s in ("home", "away")})
+    home, away = F.col("home"), F.col("away")
     d = d.select(
         F.col("id").alias("event_id"), "date", F.coalesce("c.status.type.name", "status.type.name").alias("status"), F.col("c.venue.fullName").alias("venue"),
         home["team"]["displayName"].alias("home_team"), away["team"]["displayName"].alias("away_team"),
@@ -52,8 +55,9 @@ def scoreboard(spark: SparkSession, path: str) -> DataFrame:
 def completed_games(summaries: DataFrame) -> DataFrame:
     """Finished games with numeric scores: totals, margins and market date."""
     d = summaries.withColumn("c", F.get("header.competitions", F.lit(0)))
-    home, away = _side(F.col("c.competitors"), "home"), _side(F.col("c.competitors"), "away")
-    d = d.filter(F.col("c.status.type.name") == FINAL).select(
+    d = d.filter(F.col("c.status.type.name") == FINAL).withColumns({s: _side(F.col("c.competitors"), s) for s in ("home", "away")})
+    home, away = F.col("home"), F.col("away")
+    d = d.select(
         F.col("header.id").alias("game_id"), parse_iso(F.col("c.date")).alias("start_ts"), F.col("gameInfo.venue.fullName").alias("venue"),
         home["team"]["displayName"].alias("home_team"), away["team"]["displayName"].alias("away_team"),
         home["team"]["abbreviation"].alias("home_abbr"), away["team"]["abbreviation"].alias("away_abbr"),
@@ -64,8 +68,8 @@ def completed_games(summaries: DataFrame) -> DataFrame:
         "total_runs": F.col("home_score") + F.col("away_score"), "home_margin": F.col("home_score") - F.col("away_score"), "game_date": market_date(F.col("start_ts"))})
 
 
-def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SUMMARY).json(path)
+def read_summaries(spark: SparkSession, path: str, schema: str = SUMMARY) -> DataFrame:
+    return spark.read.schema(schema).json(path)
 
 
 def hits_by_batter(summaries: DataFrame) -> DataFrame:
@@ -88,10 +92,11 @@ def player_rows(summaries: DataFrame) -> DataFrame:
     d = d.select("event_id", F.col("team.abbreviation").alias("team"), F.inline("statistics"))
     grp = F.when(F.array_contains("keys", "atBats"), "batting").when(F.array_contains("keys", INNINGS), "pitching")
     d = d.withColumn("grp", grp).filter(F.col("grp").isNotNull()).select("event_id", "team", "grp", "keys", F.inline("athletes")).filter(F.size("stats") > 0)
-    kv = F.arrays_zip("keys", "stats")  # the shorter one is filled with nulls
+    # The shorter one is filled with nulls. Entries go backwards: the last one under a key counts, as a file may repeat a key or leave one empty.
+    kv = F.reverse(F.filter(F.arrays_zip("keys", "stats"), lambda x: x["stats"].isNotNull()))
     d = d.select("event_id", "team", "grp", F.col("athlete.id").alias("athlete_id"), F.col("athlete.displayName").alias("name"), "starter", kv.alias("kv"))
-    # The last entry under a key; a file may repeat a key or leave one empty.
-    last = lambda k: F.try_element_at(F.filter("kv", lambda x: (x["keys"] == k) & x["stats"].isNotNull()), F.lit(-1))["stats"]
+    d = d.select("*", F.col("kv.keys").alias("named"), F.col("kv.stats").alias("values"))
+    last = lambda k: F.get("values", F.array_position("named", F.lit(k)).cast("int") - 1)
     num = lambda k: F.coalesce(last(k).try_cast("double"), F.lit(0.0))
     bat, pit = F.col("grp") == "batting", F.col("grp") == "pitching"
     cols: dict[str, Column] = {}

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from quotelab.llm.suffix_automaton import WindowIndex
 from quotelab.llm.texts import keyed_text, term_spans, terms, whole_rows, with_text
+from quotelab.llm.worker import kept
 from quotelab.session import materialise
 
 #: Words of benchmark items in one automaton: about 100 MB in a worker. Longer items are cut, with an overlap.
@@ -32,17 +33,6 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
 _CUT_ARROW = pa.struct([("n_words", pa.int64()), ("n_cut", pa.int64())])
 
-_held: dict[str, WindowIndex] = {}
-
-
-def _index(shard, key: str, window: int) -> WindowIndex:
-    """The automaton of a shard, built once in each worker."""
-    if key not in _held:
-        _held.clear()
-        _held[key] = WindowIndex(shard.value, window)
-    return _held[key]
-
-
 def _shards(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list]:
     """Lists of (item id, words) of at most ``SHARD_WORDS`` words; at least one list."""
     shard, size = [], 0
@@ -95,7 +85,7 @@ def _pass(rows: DataFrame, shard: list, window: int, carried: str, state: str, s
     held, key = rows.sparkSession.sparkContext.broadcast(shard), uuid.uuid4().hex
 
     def scan(batches):
-        index = _index(held, key, window)
+        index = kept(key, lambda: WindowIndex(held.value, window))  # built once in each worker
         for b in batches:
             old = b.column("state").to_pylist() if "state" in b.schema.names else [None] * b.num_rows
             new = [step(text, o, index) for text, o in zip(b.column("text").to_pylist(), old, strict=True)]

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelab.llm.texts import batch, keyed_text, whole_rows
+from quotelab.llm.worker import kept
 from quotelab.session import discard, materialise
 
 #: Labelled rows a language is fitted on, as an expectation: each row is taken with this number over the language's rows.
@@ -353,20 +354,14 @@ def _by_bytes(texts: list[bytes | None]):
         yield group
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def identify(rows: DataFrame, model: Model, carried: str = "doc_id") -> DataFrame:
     """``carried``, lang_pred and score for rows with ``carried`` and a binary ``text``."""
     held = rows.sparkSession.sparkContext.broadcast(model)  # pieces x languages numbers, whatever the input
 
     def run(batches):
-        key = id(held.value)
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(held.value)
+        scorer = kept(("scorer", id(held.value)), lambda: Scorer(held.value))  # which holds the model, so no other has its id
         for b in batches:
-            langs, scores = _scorers[key](b.column("text").to_pylist())
+            langs, scores = scorer(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(carried), pa.array(langs), pa.array(scores, pa.float64())],
                                              names=[carried, "lang_pred", "score"])
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotelab.llm.worker import kept
 from quotelab.session import materialise
 
 CAPACITY = 2048
@@ -33,12 +34,9 @@ _SPECIAL = "<|endoftext|>"
 #: Beyond these characters, libraries may differ in what they count as a letter.
 _OTHER = re.compile("[^\\x00-\\x7e¡-ɏ]")
 
-_held: dict[tuple, tuple] = {}
-
-
 def _encoder(vocabulary: str, ranks: str | None):
     """text -> ids as the tokenizer file ``vocabulary`` gives them; ``ranks`` holds the same vocabulary for a faster reader."""
-    if (vocabulary, ranks) not in _held:
+    def read():
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
@@ -49,8 +47,9 @@ def _encoder(vocabulary: str, ranks: str | None):
             with open(ranks, "rb") as lines:
                 merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        _held[vocabulary, ranks] = slow, fast
-    slow, fast = _held[vocabulary, ranks]
+        return slow, fast
+
+    slow, fast = kept(("encoder", vocabulary, ranks), read)
 
     def encode(text: str) -> list[int]:
         if fast is None or _SPECIAL in text or _OTHER.search(text):
